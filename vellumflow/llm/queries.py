@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP10_SQL, op10_mixing
 from .neardup import op9_minhash_near_dedup
+from .secrets import OP8_SQL, op8_secret_scans
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op8_secret_scans": op8_secret_scans,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_mixing": op10_mixing,
 }
 #: DuckDB SQL where it can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_secret_scans": OP8_SQL,
+    "op10_mixing": OP10_SQL,
+}
