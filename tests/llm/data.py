@@ -22,7 +22,7 @@ def odd_docs(spark, extra: bool = True):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("node", "sig", "n", "p", "w", "k", "a", "b", "m", "group_id", "topic", "n_tokens", "length", "rank", "digest", "_clean", "toxic", "count", "members", "start", "part", "salt"):
+        for name in ("node", "sig", "n", "p", "w", "k", "a", "b", "m", "group_id", "topic", "n_tokens", "length", "rank", "digest", "_clean", "toxic", "count", "members", "start", "part", "salt", "_gone", "_again", "_topic", "_s", "_l", "_t", "_p", "_n"):
             df = df.withColumn(name, F.lit("extra"))
     return df
 

@@ -49,7 +49,7 @@ def test_coordinate_pruning_keeps_all_answers():
     x = base / np.linalg.norm(base, axis=1)[:, None]
     bucket = K.Bucket(x, np.ones(len(x)))
     theta = np.full(50, 0.95)
-    found = K._candidates(bucket, x[:50], np.ones(50), theta)
+    found = K._candidates(bucket, x[:50], np.ones(50), theta, len(x))
     assert found is not None and sum(map(len, found)) < 0.2 * 50 * len(x)
     for i, own in enumerate(found):
         assert set(np.flatnonzero(x @ x[i] >= 0.95)) <= set(own.tolist())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fitted, written
 
 TRAIN_PAGES = 600
 MADE_PAGES = 200
@@ -334,7 +334,7 @@ def fit(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_PAGES) -> Boos
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").where("text is not null")
     sample = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("html is not null").join(F.broadcast(picked.select("page_id").distinct()), "page_id")
     sample = written(sample, "extraction-pages").join(written(source, "extraction-sources"), "page_id").select("page_id", "html", "text")
-    return pickle.loads(sample.coalesce(1).mapInArrow(_fit, "model binary").first()[0])
+    return fitted(sample, _fit)
 
 
 def extract(source: str, model: Boosted) -> tuple[str, int, int]:

@@ -4,7 +4,7 @@ A text is cut into windows of ``WINDOW`` bytes, the last one padded with zeros.
 so that a filter is a table of weights by byte and position), max pooling over the window and a dense layer with
 softmax give each window's log probabilities; a text's are their sum, weighted by the windows' bytes. All windows
 of all texts are read. The network is trained in numpy, by Adam with back-propagation through the maxima, on the windows of at most
-``ROWS`` labelled documents for each of at most ``LANGUAGES`` languages, those of least hash of doc_id.
+``ROWS`` labelled documents for each of at most ``LANGUAGES`` languages, those of least hash of doc_id, and on at most ``TRAIN_WINDOWS`` of these.
 
 Rows with a null label or text don't train. Null and empty texts, and all texts where nothing is labelled, have language "und" and
 confidence 0. Ties go to the language that sorts first. Repeated rows each have their result. Other columns are not
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernel import buffers, chunks
-from .shared import written
+from .shared import fitted, written
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Network:
     picked = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().orderBy("_lang", "_id").limit(rows * LANGUAGES)
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("text is not null")
     sample = written(both.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text"), "langid-sample")
-    return pickle.loads(sample.coalesce(1).mapInArrow(_fit, "model binary").first()[0])
+    return fitted(sample, _fit)
 
 
 def _apply(net: Network):

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, unused
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURES = {"source": 0.7, "lang": 0.85, "topic": 0.85}
@@ -104,18 +104,14 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(_SPAN)
 
 
-def _drawn(docs: DataFrame, p: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
-    own = docs.withColumn("_topic", topic(text))
-    p = p.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("p").alias("_p"))
-    on = docs["source"].eqNullSafe(p["_s"]) & docs["lang"].eqNullSafe(p["_l"]) & (F.col("_topic") == F.col("_t"))
-    return own, p, on
-
-
 def mixed(docs: DataFrame, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns."""
-    own, p, on = _drawn(docs, probabilities(docs, driver_cells, rounds), docs["text"])
-    near = own.join(p, on).where((uniform(F.col("doc_id")) < F.col("_p")) & F.col("text").rlike(r"[^ \t\r\n]"))
-    return near.select(*[docs[f"`{c}`"] for c in docs.columns])
+    s, l, t, p, kind = (unused(docs, n) for n in ("_s", "_l", "_t", "_p", "_topic"))
+    cells = probabilities(docs, driver_cells, rounds).toDF(s, l, t, p)
+    own = docs.withColumn(kind, topic(F.col("text")))
+    on = own["source"].eqNullSafe(cells[s]) & own["lang"].eqNullSafe(cells[l]) & (own[kind] == cells[t])
+    near = own.join(cells, on).where((uniform(F.col("doc_id")) < F.col(p)) & F.col("text").rlike(r"[^ \t\r\n]"))
+    return near.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture(docs: DataFrame, driver_cells: int = DRIVER_CELLS, rounds: int = ROUNDS) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffers, chunks, hash_words, mix, words
-from .shared import checkpointed, written
+from .shared import checkpointed, unused, written
 
 SHINGLE = 3
 TOKENS = 128
@@ -327,12 +327,13 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, **limits: int) -
     Rows without a doc_id stay as they are. Of rows that repeat a doc_id one stays.
     """
     found = groups(docs, threshold, **limits)
-    out = docs.join(found.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    gone, twice = unused(docs, "_gone"), unused(docs, "_again")
+    out = docs.join(found.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
+    again = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1)
     if not again.isEmpty():
-        again = again.select(F.col("doc_id").alias("_again"))
-        repeated = out.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(repeated)
+        again = again.select(F.col("doc_id").alias(twice))
+        repeated = out.join(again, F.col("doc_id") == F.col(twice), "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, F.col("doc_id") == F.col(twice), "left_anti").unionByName(repeated)
     return out
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import buffers, chunks
+from .shared import unused
 
 #: name, regex (the common ground of Python's bytes regexes and RE2)
 RULES: tuple[tuple[str, str], ...] = (
@@ -289,12 +290,12 @@ def redactor(rules: tuple[tuple[str, str], ...] = RULES):
 
 def redacted(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """All rows and columns of ``docs``; secrets in text are replaced and n_chars, where there is such a column, follows."""
-    names = docs.columns
-    made = docs.withColumn("_clean", redactor(rules)("text"))
-    new = {"text": F.col("_clean")}
+    names, clean = docs.columns, unused(docs, "_clean")
+    made = docs.withColumn(clean, redactor(rules)("text"))
+    new = {"text": F.col(clean)}
     if "n_chars" in names:
-        changed = ~F.col("text").eqNullSafe(F.col("_clean"))
-        new["n_chars"] = F.when(changed, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changed = ~F.col("text").eqNullSafe(F.col(clean))
+        new["n_chars"] = F.when(changed, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return made.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
 
 

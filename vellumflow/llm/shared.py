@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +47,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder, for small tables within loops."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fitted(sample: DataFrame, fit: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> object:
+    """What ``fit`` pickles as its one row, over a bounded sample in one task; an empty sample may have no task, so there the driver fits on nothing."""
+    row = sample.coalesce(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(row[0] if row else next(fit(iter(()))).column(0)[0].as_py())
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column (Spark's names have no case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

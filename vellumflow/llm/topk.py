@@ -57,8 +57,8 @@ def buckets(rows: np.ndarray, norms: np.ndarray) -> list[tuple[int, Bucket]]:
     return [(a, Bucket(rows[a:b], norms[a:b])) for a, b in pairwise(cut)]
 
 
-def _candidates(b: Bucket, q: np.ndarray, qnorm: np.ndarray, theta: np.ndarray) -> list[np.ndarray] | None:
-    """For each query the probes that coordinate pruning leaves, or None where it doesn't pay for the batch."""
+def _candidates(b: Bucket, q: np.ndarray, qnorm: np.ndarray, theta: np.ndarray, most: float) -> list[np.ndarray] | None:
+    """For each query the probes that coordinate pruning leaves, or None where they are more than ``most`` on average."""
     t = theta / np.maximum(qnorm * b.norms[0], 1e-300)
     if not (t > 0.3).any():
         return None
@@ -84,7 +84,7 @@ def _candidates(b: Bucket, q: np.ndarray, qnorm: np.ndarray, theta: np.ndarray)
             z[f, own] = np.searchsorted(b.lists[:, k], high[own], "right")
     best = (z - a).argmin(0)
     size = (z - a)[best, np.arange(len(q))]
-    if size.sum() > PAYS * len(q) * len(b.rows):
+    if size.sum() > most * len(q):
         return None
     out = []
     for i in range(len(q)):
@@ -122,15 +122,15 @@ def search(qid: np.ndarray, q: np.ndarray, pid: np.ndarray, p: np.ndarray, k: in
                 if (theta >= 0).all():
                     break
                 continue
-            few = _candidates(b, qb[live], qnorm[live], theta[live]) if np.isfinite(theta[live]).all() and (theta[live] > 0).all() else None
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = np.where(theta[live] > 0, theta[live] / np.maximum(qnorm[live], 1e-300), -1)
+            reach = int(np.searchsorted(-b.norms, -(least.min() - _SLACK * (1 + abs(least.min()))), "right"))
+            few = _candidates(b, qb[live], qnorm[live], theta[live], PAYS * reach) if np.isfinite(theta[live]).all() and (theta[live] > 0).all() else None
             if few is not None:
                 rows = np.concatenate(few)
                 who = np.repeat(live, [len(x) for x in few])
                 product = np.einsum("ij,ij->i", qb[who], b.rows[rows]) if len(rows) else np.zeros(0)
             else:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    least = np.where(theta[live] > 0, theta[live] / np.maximum(qnorm[live], 1e-300), -1)
-                reach = int(np.searchsorted(-b.norms, -(least.min() - _SLACK * (1 + abs(least.min()))), "right"))
                 full = qb[live] @ b.rows[:reach].T
                 who, rows = np.nonzero(full >= (theta[live] - _SLACK * (1 + np.where(np.isfinite(theta[live]), np.abs(theta[live]), 0)))[:, None])
                 product, who = full[who, rows], live[who]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, buffers, chunks, hash_words, mix, words
-from .shared import written
+from .shared import fitted, written
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 6000
 LABEL_ACCURACY = 0.99
@@ -187,7 +187,7 @@ class LabelModel:
 def fit_label_model(codes: np.ndarray, n: np.ndarray, known: np.ndarray, rounds: int = 60) -> LabelModel:
     """EM on vote patterns, how many documents have each, and how many labelled clean and toxic (patterns x 2)."""
     anchor = known.T / np.maximum(known.sum(0)[:, None], 1)
-    anchored = known.sum(0).min(initial=0) > 0 if len(known) else False
+    anchored = len(known) > 0 and known.sum(0).min() > 0
     v, n = _decode(codes), n.astype(float)
     one = np.eye(3)[v]  # pattern, voter, vote
     lexical = (v[:, : _NVOTERS - 2] == _TOXIC).sum(1)
@@ -368,8 +368,8 @@ def labelled(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, c
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     sample = written(labelled(docs, labels), "toxicity-sample")
-    one = sample.select("doc_id", "text", "toxic", "fold").coalesce(1)  # bounded: see labelled()
-    keys = pickle.loads(one.where("fold = 0").mapInArrow(_mine, "model binary").first()[0])
+    one = sample.select("doc_id", "text", "toxic", "fold")  # bounded: see labelled()
+    keys = fitted(one.where("fold = 0"), _mine)
     text = docs.select(F.lower("text").alias("text"))
     # at most 3 ^ voters patterns; a few hundred occur
     count = lambda df: df.mapInArrow(_count_votes(keys), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -378,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     codes = sorted({r.code for r in seen} | {c for k in known for c in k})
     total = {r.code: r.n for r in seen}
     model = fit_label_model(np.array(codes, np.int64), np.array([total.get(c, 0) for c in codes]), np.array([[k.get(c, 0) for k in known] for c in codes], float).reshape(-1, 2))
-    return pickle.loads(one.where("fold = 1").mapInArrow(_train(keys, model), "model binary").first()[0])
+    return fitted(one.where("fold = 1"), _train(keys, model))
 
 
 def scorer(classifier: Classifier):
