@@ -39,7 +39,7 @@ def test_unigrams_sum_to_one(spark):
 def test_length_prior(spark):
     words = stats.dictionary(docs(spark, "a a bbb"))
     norm = {r.len: math.exp(-r.cost) for r in stats.length_costs(words, "neglog").collect()}
-    assert sum(norm.values()) == pytest.approx(1) and set(norm) == {0, 1, 2, 3} and norm[0] == norm[2] == pytest.approx(1 / 6)
+    assert sum(norm.values()) == pytest.approx(1) and set(norm) == {0, 1, 2, 3} and norm[0] == norm[2] == pytest.approx(1 / 5)
     raw = {0: 0, 1: 2 / 3, 2: 0, 3: 1 / 3}
     assert {r.len: r.cost for r in stats.length_costs(words).collect()} == {k: pytest.approx(norm[k] + raw[k]) for k in raw}
     assert stats.lm_scores(words, words, words).count() == 2
@@ -182,14 +182,14 @@ def test_path_limits(spark):
     assert graph.best_path(4, 4, moves, keep=lambda i, j, c: c < 1) is None and [s[0] for s in graph.best_path(4, 4, moves)].count("COR") == 3
     got = spark.createDataFrame([(["a", "b"], ["a", "c"])], "a array<string>, b array<string>").select(graph.alignment("a", "b").alias("p")).first().p
     assert [(s.op, s.i, s.j) for s in got] == [("COR", 1, 1), ("SUB", 2, 2)]
-    assert graph.align_lines(["hello world", "foo bar"], "hello world junk foo bar".split(), 0.5) == [(0, 0, 2), (1, 3, 5)]
+    assert graph.align_lines(["hello world", "foo bar"], "hello world junk foo bar".split(), 0.3) == [(0, 0, 2), (1, 3, 5)]
 
 
 def test_lexicon(spark):
     words = spark.createDataFrame([("abc", 1), ("é", 2), ("aß", 3), ("a1", 4), ("a b", 5), ("11", 6)], "term string, cnt long")
     good, bad = lexicon.checked_dictionary(words, [*"abce1 ", "́"])
     assert rows(bad) == [("11", "category"), ("a b", "tokenizer"), ("a1", "tokenizer"), ("aß", "charmap")]
-    assert {r.term for r in good.collect()} == {"abc", "é"}
+    assert {r.term for r in good.collect()} == {"abc", "e\u0301"}
     chars = spark.createDataFrame([(c,) for c in "a1,\t$ "], "ch string")
     assert {r.category: r.characters for r in lexicon.char_classes(chars).collect()} == {"L": ["a"], "N": ["1"], "P": [","], "C": ["\t"], "S": ["$"], "Z": [" "]}
 

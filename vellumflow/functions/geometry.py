@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POINTS = "array<struct<x:int,y:int>>"
 
@@ -232,6 +233,6 @@ def convex_hull(points: Column) -> Column:
     return run(points)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def contains(polygon: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([inside([(p["x"], p["y"]) for p in ps], a, b) for ps, a, b in zip(polygon, x, y, strict=True)])

@@ -100,12 +100,12 @@ def page_key(doc_id: Column, page_nr: Column, page_id: Column, image: Column) ->
 def parse_tags(custom: Column) -> Column:
     """``name {k:v; k:v;} name {...}`` as an array of (tag, attrs)."""
     parts = F.regexp_extract_all(custom, F.lit(r"([\w-]+\s*\{[^}]*\})"), F.lit(1))
-    attrs = lambda p: F.filter(F.transform(F.split(F.regexp_extract(p, r"\{([^}]*)\}", 1), ";"), F.trim), lambda x: F.contains(x, F.lit(":")))
+    attrs = lambda p: F.filter(F.transform(F.split(F.regexp_extract(p, r"\{([^}]*)\}", 1), ";"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(":")))
     return F.transform(
         parts,
         lambda p: F.struct(
             F.regexp_extract(p, r"^([\w-]+)", 1).alias("tag"),
-            F.map_from_entries(F.transform(attrs(p), lambda a: F.struct(F.trim(F.substring_index(a, ":", 1)), F.trim(F.substr(a, F.instr(a, ":") + 1))))).alias("attrs"),
+            F.map_from_entries(F.transform(attrs(p), lambda a: F.struct(F.trim(F.substring_index(a, ":", 1)), F.trim(F.regexp_replace(a, r"^[^:]*:", ""))))).alias("attrs"),
         ),
     )
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SOFT_LTR, SOFT_RTL, LTR, RTL = "soft_ltr", "soft_rtl", "ltr", "rtl"
 _MARKS = frozenset("؜‎‏‪‫‬‭‮⁦⁧⁨⁩")
@@ -27,7 +28,7 @@ def normalised(text: Column, form: str) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(run(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base_char(s: pd.Series) -> pd.Series:
     """The first character of the NFKD form."""
     return s.map(lambda c: c if not c else unicodedata.normalize("NFKD", c)[0])

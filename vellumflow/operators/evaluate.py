@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from vellumflow.functions import text as T
 
@@ -25,7 +26,7 @@ def error_rate(pairs: DataFrame, keys: tuple[str, ...] = (), reference: str = "r
     return out.withColumn("cer", F.when(F.col("length") > 0, F.col("errors") / F.col("length")))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def word_errors(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """The edit distance of two arrays of words."""
 

@@ -8,9 +8,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumflow.shared import checkpointed
 
+_PATH = T.ArrayType(T.StructType().add("op", T.StringType()).add("i", T.IntegerType()).add("j", T.IntegerType()).add("cost", T.DoubleType()))
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node that it is connected to) of all nodes of the edges.
@@ -109,7 +112,7 @@ def transposed(moves: Callable[[int, int], list[Move]]) -> Callable[[int, int],
     return lambda i, j: [(swap.get(op, op), y, x, c) for op, x, y, c in moves(j, i)]
 
 
-@F.pandas_udf("array<struct<op:string,i:int,j:int,cost:double>>")
+@F.pandas_udf(_PATH)
 def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     """The cheapest edit path of two arrays."""
 
