@@ -214,6 +214,8 @@ def test_geometry(spark):
     line = points(spark, *[(x, 0) for x in range(21)])
     assert got(line, G.thinned(p, 5)) == [(0, 0), (5, 0), (10, 0), (15, 0), (20, 0)] and got(line, G.part(p, F.lit(0.25), F.lit(0.5))) == [(x, 0) for x in range(5, 11)]
     assert got(points(spark, (0, 0), (1, 1), (2, 2), (2, 5)), G.collinear_reduced(p)) == [(0, 0), (2, 2), (2, 5)]
+    made = G.collinear_rows(points(spark, (0, 0), (3, 3), (3, 6)).select(G.raster(p).alias("v")), "v")
+    assert [(q.x, q.y) for q in made.first().v] == [(0, 0), (3, 3), (3, 6)]
     assert set(got(points(spark, (0, 0), (4, 0), (4, 4), (0, 4), (2, 2), (4, 2)), G.convex_hull(p))) == {(0, 0), (4, 0), (4, 4), (0, 4)}
     assert got(d, G.first_valid(F.lit(None).cast(G.POINTS), p)) == [(0, 0), (4, 2), (4, 2), (6, 2)] and got(d, G.is_polygon(p)) is True
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -225,6 +226,16 @@ def collinear_reduced(points: Column) -> Column:
     return run(points)
 
 
+def collinear_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the points of one column reduced: for columns of nested lambdas, whose values Spark does not hand to a UDF column."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(**{name: _series(reduce_collinear)(part[name])})
+
+    return df.mapInPandas(run, df.schema)
+
+
 def convex_hull(points: Column) -> Column:
     @F.pandas_udf(POINTS)
     def run(s: pd.Series) -> pd.Series:

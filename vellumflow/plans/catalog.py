@@ -579,7 +579,7 @@ def convex_hull(spark, sf):
 
 @query()
 def collinear_reduced(spark, sf):
-    return _points(spark, sf).select("vec_id", G.collinear_reduced(G.raster(F.col("p"))).alias("points"))
+    return G.collinear_rows(_points(spark, sf).select("vec_id", G.raster(F.col("p")).alias("points")), "points")
 
 
 @query()
