@@ -51,3 +51,17 @@ def test_error_rates_and_alignment_of_all_turns(spark, tmp_path):
 @given(st.text("abc", max_size=14), st.text("abc", max_size=14))
 def test_edit_path_is_the_searched_path(a, b):
     assert graph.edit_path(list(a), list(b)) == graph.best_path(len(a), len(b), graph.edit_moves(list(a), list(b)))
+
+
+def test_greedy_match_of_all_turns(spark, tmp_path):
+    turns = conversations(spark, tmp_path)
+    want = set()
+    for conv in range(3):
+        costs = sorted((edits(turns[conv, i], turns[conv, j]) / max(len(turns[conv, i]), len(turns[conv, j])), i, j) for i in (0, 2, 4) for j in (1, 3, 5))
+        free = set(range(6))
+        for cost, i, j in costs:
+            if cost < 0.9 and {i, j} <= free:
+                free -= {i, j}
+                want.add((conv, i, j, cost))
+    assert any(len(turns[c, i]) > 200 for c, i, *_ in want)
+    assert {tuple(r) for r in QUERIES["greedy_match"](spark, str(tmp_path)).collect()} == want

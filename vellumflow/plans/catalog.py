@@ -557,11 +557,14 @@ def components(spark, sf):
 
 @query()
 def greedy_match(spark, sf):
-    c = table(spark, sf, "conversations").where(F.length("text") <= 200)
+    """All turns at full length; pairs whose lengths alone put the cost at the limit are left out before the distance."""
+    c = table(spark, sf, "conversations")
     a = c.where("role = 'user'").select("conv_id", F.col("turn").alias("i"), F.col("text").alias("x"))
     b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("j"), F.col("text").alias("y"))
-    cost = F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"), F.lit(1))
-    return graph.greedy_match(a.join(b, "conv_id").select("conv_id", "i", "j", cost.alias("cost")), ["conv_id"], 0.9)
+    longer = F.greatest(F.length("x"), F.length("y"), F.lit(1))
+    cost = F.levenshtein("x", "y") / longer
+    near = a.join(b, "conv_id").where(F.abs(F.length("x") - F.length("y")) / longer < 0.9)
+    return graph.greedy_match(near.select("conv_id", "i", "j", cost.alias("cost")), ["conv_id"], 0.9)
 
 
 @query()
