@@ -1,5 +1,6 @@
 """Registered queries against brute force on small tables with what a shortcut would leave out."""
 
+import math
 import random
 
 from hypothesis import given, settings
@@ -65,3 +66,12 @@ def test_greedy_match_of_all_turns(spark, tmp_path):
                 want.add((conv, i, j, cost))
     assert any(len(turns[c, i]) > 200 for c, i, *_ in want)
     assert {tuple(r) for r in QUERIES["greedy_match"](spark, str(tmp_path)).collect()} == want
+
+
+def test_fuzzy_search_of_the_whole_dictionary(spark, tmp_path):
+    text = "The the THE thé License licénse licence Version versión vérsïon Password pässword idiót Idiot banana 漢字 tie"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    conf = {(q, t): math.exp(-edits(t, q) / len(q)) for q in ("password", "license", "version", "the", "idiot") for t in text.split()}
+    want = {(q, t, 1, round(c, 6)) for (q, t), c in conf.items() if c >= 0.5}
+    assert {("the", "The"), ("license", "licénse"), ("version", "vérsïon"), ("password", "Password")} <= {r[:2] for r in want}
+    assert {tuple(r) for r in QUERIES["kw_fuzzy"](spark, str(tmp_path)).collect()} == want

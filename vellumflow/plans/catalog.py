@@ -229,7 +229,8 @@ _ASCII = ["password", "license", "version", "the", "idiot"]
 
 @query(f"SELECT query, term, cnt, round(exp(-levenshtein(term, query) / length(query)::DOUBLE), 6) AS conf FROM (SELECT * FROM ({_DICT}) WHERE regexp_full_match(term, '[a-z]+')), {_list(_ASCII)} WHERE exp(-levenshtein(term, query) / length(query)::DOUBLE) >= 0.5")
 def kw_fuzzy(spark, sf):
-    words = stats.dictionary(table(spark, sf, "documents")).where(F.col("term").rlike("^[a-z]+$"))
+    """The whole dictionary; the SQL has only its terms of small ASCII letters, as DuckDB counts edits in bytes."""
+    words = stats.dictionary(table(spark, sf, "documents"))
     return search.fuzzy_hits(words, _ASCII, 0.5).withColumn("conf", F.round("conf", 6))
 
 
