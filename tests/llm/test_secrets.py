@@ -60,3 +60,26 @@ def test_odd_rows_and_empty(spark):
     out = S.redacted(docs)
     assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert S.secrets(none(spark)).count() == 0 and S.redacted(none(spark)).count() == 0
+
+
+LINE = "MIIEow" + "Ab3/+Zq9" * 7
+KEY = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{LINE}\n{LINE}\nAb3=\n-----END RSA PRIVATE KEY-----"
+WHOLE = {
+    "key": (KEY, "[private_key]"),
+    "one line": (KEY.replace("\n", " "), "[private_key]"),
+    "escaped": (KEY.replace("\n", "\\n"), "[private_key]"),
+    "no end": (KEY.rpartition("\n")[0], "[private_key]"),
+    "no end, one line": (f"-----BEGIN PRIVATE KEY----- {LINE} {LINE}", "[private_key]"),
+    "password": ("password=" + "x#" * 100, "[password]"),
+    "assignment": ("token: " + "Ab3_" * 100, "[secret_assignment]"),
+    "url": ("https://" + "u" * 80 + ":" + "p" * 90 + "@", "[url_credentials]"),
+}
+
+
+@pytest.mark.parametrize("kind", WHOLE)
+def test_whole_secrets_go(spark, kind):
+    secret, name = WHOLE[kind]
+    text = f"é before\n{secret}\nand more words after.\n{secret}\n\nThe end of it"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS)
+    assert [r.text for r in S.redacted(docs).collect()] == [f"é before\n{name}\nand more words after.\n{name}\n\nThe end of it"]
+    assert [r.secret for r in S.secrets(docs).collect() if r.rule == name.strip("[]")] == [secret, secret]

@@ -27,6 +27,14 @@ from pyspark.sql import functions as F
 from .kernel import buffers, chunks
 from .shared import unused
 
+#: A key after its first line: all through its END line if no other line of hyphens comes before, else its header lines and the run of base64.
+_KEY = r"PRIVATE KEY(?: BLOCK)?-----"
+_BASE64 = r"(?:[ \t\r]*\n[ \t]*[A-Za-z0-9+/=]+[ \t\r]*$|(?:[ \t]|\\[nr])+[A-Za-z0-9+/=]{40,})*"
+_BODY = (
+    r"(?:[^-]*(?:-{1,4}[^-]+)*-----END (?:RSA |EC |DSA |OPENSSH |PGP )?" + _KEY
+    + r"|(?:[ \t\r]*\n(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): [^\r\n]*)*(?:[ \t\r]*\n[ \t\r]*$)?" + _BASE64 + ")"
+)
+
 #: name, regex (the common ground of Python's bytes regexes and RE2)
 RULES: tuple[tuple[str, str], ...] = (
     ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -35,10 +43,10 @@ RULES: tuple[tuple[str, str], ...] = (
     ("google_api_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("json_web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
-    ("url_credentials", r"\b[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
-    ("password", r"""(?i)\b(?:password|passwd|passphrase|pwd)\s{0,3}[:=]\s{0,3}["']?[^\s"']{6,128}["']?"""),
-    ("secret_assignment", r"""(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|auth[_-]?key)\s{0,3}[:=]\s{0,3}["']?[A-Za-z0-9_./+=-]{16,256}["']?"""),
+    ("private_key", r"(?m)-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?" + _KEY + _BODY),
+    ("url_credentials", r"\b[A-Za-z][A-Za-z0-9+.-]+://[^\s:/@]+:[^\s:/@]{3,}@"),
+    ("password", r"""(?i)\b(?:password|passwd|passphrase|pwd)\s{0,3}[:=]\s{0,3}["']?[^\s"']{6,}["']?"""),
+    ("secret_assignment", r"""(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|auth[_-]?key)\s{0,3}[:=]\s{0,3}["']?[A-Za-z0-9_./+=-]{16,}["']?"""),
     ("hex_digest_key", r"\b[0-9a-f]{40}\b"),
 )
 
