@@ -75,3 +75,10 @@ def test_fuzzy_search_of_the_whole_dictionary(spark, tmp_path):
     want = {(q, t, 1, round(c, 6)) for (q, t), c in conf.items() if c >= 0.5}
     assert {("the", "The"), ("license", "licénse"), ("version", "vérsïon"), ("password", "Password")} <= {r[:2] for r in want}
     assert {tuple(r) for r in QUERIES["kw_fuzzy"](spark, str(tmp_path)).collect()} == want
+
+
+def test_components_over_short_lines(spark, tmp_path):
+    long = "a line of rather more than forty characters, shared"
+    texts = ["one\nshort", "short\n\ntwo", f"three\n{long}", f"{long}\n\nfour\nétroit", "five\nétroit", "six\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["components"](spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)}

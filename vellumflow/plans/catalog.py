@@ -550,7 +550,8 @@ def raster_sizes(spark, sf):
     "s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, b FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, least(node, min(other)) AS component FROM r GROUP BY 1"
 )
 def components(spark, sf):
-    lines = search.line_table(table(spark, sf, "documents")).where(F.length("line") > 40).select(F.xxhash64("line").alias("h"), F.md5(F.col("line").cast("binary")).alias("m"), "doc_id").distinct()
+    """Over all shared lines that are not empty; the SQL has only those of over 40 characters."""
+    lines = search.line_table(table(spark, sf, "documents")).where(F.length("line") > 0).select(F.xxhash64("line").alias("h"), F.md5(F.col("line").cast("binary")).alias("m"), "doc_id").distinct()
     low = lines.groupBy("h", "m").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     edges = lines.join(low, ["h", "m"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     return graph.components(edges)
