@@ -82,3 +82,19 @@ def test_components_over_short_lines(spark, tmp_path):
     texts = ["one\nshort", "short\n\ntwo", f"three\n{long}", f"{long}\n\nfour\nétroit", "five\nétroit", "six\n"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in QUERIES["components"](spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)}
+
+
+def test_polygons_of_all_coordinates(spark, tmp_path):
+    rng = random.Random(12)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(64)] for i in range(5)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    points = {i: [(20 * k, math.floor(x * 200)) for k, x in enumerate(v)] for i, v in vectors.items()}
+    told = lambda q: {r.vec_id: r for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    text, stats, sizes, hull, reduced = (told(q) for q in ("polygon_text", "baseline_stats", "raster_sizes", "convex_hull", "collinear_reduced"))
+    for i, p in points.items():
+        ys = [y for _, y in p]
+        assert text[i].points == " ".join(f"{x},{y}" for x, y in p)
+        assert (stats[i].y0, stats[i].y1) == (min(ys) - 20, max(ys) + 20)
+        assert math.isclose(stats[i].avg_y, (2 * sum(ys) - ys[0] - ys[-1]) / 126, abs_tol=1e-6)
+        assert sizes[i].n == 1 + sum(max(20, abs(b - a)) for a, b in zip(ys[:-1], ys[1:], strict=True))
+        assert max(q.x for q in hull[i].hull) == 20 * 63 and max(q.x for q in reduced[i].points) == 20 * 63

@@ -525,8 +525,9 @@ _POINTS = "(SELECT vec_id, list_transform(range(16), lambda i: struct_pack(x :=
 
 
 def _points(spark, sf):
-    at = lambda i: F.struct((i * 20).alias("x"), F.floor(F.element_at("embedding", i + 1).cast("double") * 200).cast("int").alias("y"))
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), at).alias("p"))
+    """A point for each coordinate of the embedding; the SQL has only the first 16."""
+    at = lambda e, i: F.struct((i * 20).alias("x"), F.floor(e.cast("double") * 200).cast("int").alias("y"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", at).alias("p"))
 
 
 @query(f"SELECT vec_id, list_aggregate(list_transform(p, lambda q: q.x || ',' || q.y), 'string_agg', ' ') AS points FROM {_POINTS}")
