@@ -4,11 +4,18 @@ from pyspark.sql import functions as F
 
 from vellumflow.llm import toxicity as T
 
-from .data import DOCS, none, odd_docs, words
+from .data import DOCS, none, odd_docs
+from .data import words as any_words
 
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def words(rng, n):
+    """Invented words, none of which is by chance an insult."""
+    known = set(" ".join(T.INSULTS).split())
+    return " ".join(w if w not in known else "kappa" for w in any_words(rng, n).split())
+
+
 def made(spark, n=1200, seed=9):
     """Two languages; English insults in one, made-up stems, known only from labels, in the other."""
     rng = random.Random(seed)
@@ -55,11 +62,42 @@ def test_no_labels_and_empty(spark):
     labels = spark.createDataFrame([], LABELS)
     rng = random.Random(1)
     rows = [(i, words(rng, 60) + (" you idiot moron scum trash " if i % 5 == 0 else ""), "en", "s", 1) for i in range(100)]
-    got = {r.doc_id: r.toxic for r in T.toxicity(spark.createDataFrame(rows, DOCS), labels).collect()}
-    assert len(got) == 100
+    rows += [(100, None, "en", "s", 1), (101, "", "en", "s", 1), (102, " ... ", "en", "s", 1)]
+    got = {r.doc_id: (r.toxic, r.p_toxic) for r in T.toxicity(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert len(got) == 103 and all(got[i] == (False, 0.0) for i in (100, 101, 102))
+    assert all(got[i][0] == (i % 5 == 0) for i in range(100))
     assert T.toxicity(none(spark), labels).count() == 0
 
 
+def test_rare_and_absent_toxicity_without_labels(spark):
+    """One document in 400 is found; where there is none, none is made up."""
+    labels = spark.createDataFrame([], LABELS)
+    rng = random.Random(4)
+    rows = [(i, words(rng, 60) + (" you idiot moron scum trash" if i % 400 == 7 else ""), "en", "s", 1) for i in range(2000)]
+    toxic = {r.doc_id for r in T.toxicity(spark.createDataFrame(rows, DOCS), labels).collect() if r.toxic}
+    assert toxic == set(range(7, 2000, 400))
+    clean = [(i, words(rng, 60) + rng.choice(["", " so *** loud !!! and *** again !!!"]), "en", "s", 1) for i in range(500)]
+    assert not any(r.toxic for r in T.toxicity(spark.createDataFrame(clean, DOCS), labels).collect())
+
+
+def test_a_wrong_label_does_not_decide(spark):
+    """Labels only anchor the voters: clean texts labelled toxic stay clean, and the other way round."""
+    docs, labels, truth = made(spark)
+    rows = labels.collect()
+    wrong = {r.doc_id for r in rows[:20]}
+    labels = spark.createDataFrame([(r.doc_id, 1, r.toxic ^ (r.doc_id in wrong)) for r in rows], LABELS)
+    got = {r.doc_id: r.toxic for r in T.toxicity(docs, labels).collect()}
+    assert sum(got[i] == truth[i] for i in wrong) >= 18
+
+
+def test_one_document_without_end_does_not_fill_the_sample(spark):
+    docs, labels, _ = made(spark, 60)
+    many = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(500)).select(docs.columns))
+    sample = T.labelled(many, spark.createDataFrame([(3, 1, 0), (4, 1, 1)], LABELS)).collect()
+    assert len(sample) == 2
+    assert T.toxicity(many, labels).count() == 560
+
+
 def test_label_model_finds_accuracies_of_correlated_voters():
     import numpy as np
 

@@ -1,21 +1,22 @@
 """Operator 2, toxicity by weak supervision.
 
-1. Voters. Lexicons: two of common English insults, and one for each kind of word feature (the whole word,
-   or its first 4 to 8 bytes), mined from labelled rows by greedy cover. Patterns: density of lexicon words, address
+1. Voters. Lexicons: ``INSULTS`` (English of three kinds, German, and French with Spanish), and one for each kind of word feature (the whole
+   word, or its first 4 to 8 bytes), mined from labelled rows by greedy cover. Patterns: density of lexicon words, address
    before a lexicon word, masked or shouted text, and a voter for clean text. Each votes toxic, clean or not at all.
 2. A generative label model: a latent class and a dependency tree over the voters, which carries their accuracies
    and pairwise correlations, estimated by EM from the vote patterns of all documents. Those labelled rows that
    no lexicon was mined from anchor the two classes: in each M-step they have the same weight as all documents.
-3. A linear classifier on the density of word features, trained on the label model's posteriors, to which a row's own
-   label counts as one more voter of accuracy ``LABEL_ACCURACY``.
+3. A linear classifier on the density of word features, trained on the label model's posteriors of documents, labelled or not: no row's own
+   label is used there. Its bias is set so that its scores add up to the posteriors of the whole table.
 
-Labelled rows used: at most ``TOXIC_ROWS`` labelled toxic and ``CLEAN_ROWS`` labelled clean, those of least
-hash of doc_id. Half of them serve to mine lexicons; the other half, on which the lexicons are not biased, anchors the label
-model, and the classifier learns from its posteriors. Votes and the label model's statistics cover all documents.
+Labelled rows used: at most ``TOXIC_ROWS`` labelled toxic and ``CLEAN_ROWS`` labelled clean, those of least hash of doc_id. Half of them serve to
+mine lexicons; the other half, on which the lexicons are not biased, anchors the label model. The classifier learns from at most ``TRAIN_TOXIC`` and
+``TRAIN_CLEAN`` documents of posterior above and below a half, those of least hash. Votes and the label model's statistics cover all documents.
 
-Null texts are as empty ones and never toxic. Repeated rows each get their score. Labels with a null, and labels of
-unknown documents, are not used; a document with several labels is toxic if one says so. Without labels the English lexicons and
-the patterns are all there is. An empty table gives an empty result. Other columns are not read.
+Without labels the lexicons of ``INSULTS`` and the patterns vote, and the label model is fitted to their agreement alone. Null, empty and blank texts, and all others without
+a word, have probability 0. Repeated rows each get their score, and count once for training. Labels with a null, and labels of unknown documents,
+are not used; a document with several labels is toxic if one says so, and one with several texts is known by the least of them. A doc_id has to be an integer.
+An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,22 @@ from .kernel import U64, buffers, chunks, hash_words, mix, words
 from .shared import fitted, written
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 6000
-LABEL_ACCURACY = 0.99
+TRAIN_TOXIC, TRAIN_CLEAN = 4000, 6000
+#: Up to so many vote patterns are broadcast with their posteriors; beyond, Spark chooses how to join them.
+PATTERNS = 100_000
 FEATURES = 2048
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6, 7, 8)
-INSULTS = ("idiot moron stupid loser dumb imbecile jerk cretin dimwit fool", "scum trash worthless pathetic disgusting clown filth vermin bastard bitch")
+INSULTS = (
+    "idiot idiots idiotic moron morons moronic stupid dumb dumbass imbecile cretin dimwit halfwit nitwit fool foolish brainless airhead dunce simpleton dolt numbskull",
+    "scum trash worthless pathetic disgusting clown clowns filth filthy vermin loser losers garbage parasite maggot degenerate lowlife pig swine coward weasel leech",
+    "bastard bastards bitch bitches asshole assholes jerk jerks shit shithead bullshit fuck fucking fucker prick dick dickhead cunt whore slut douchebag crap wanker",
+    "dummkopf trottel depp deppen arschloch schwachkopf vollidiot abschaum drecksack mistkerl hurensohn wichser versager schlampe scheisse scheiße penner spast blödmann",
+    "imbécile crétin abruti connard connasse salaud salope ordure merde enculé débile minable idiota imbécil estúpido estúpida cabrón pendejo gilipollas basura mierda puta escoria",
+)
 ADDRESS = "you are a an is such u ur du bist ein eine ihr seid tu es un une vous eres una sois"
 _ABSTAIN, _TOXIC, _CLEAN = 0, 1, 2
-_NVOTERS = 2 + 1 + len(PREFIXES) + 4
+_NVOTERS = len(INSULTS) + 1 + len(PREFIXES) + 4
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -71,6 +81,11 @@ class KeySet:
         return at[ok], k[ok]
 
 
+@cache
+def _seeds() -> list[KeySet]:
+    return [KeySet(_hashes(x)) for x in INSULTS]
+
+
 def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Each word's document, words per document, and for the whole word and each prefix: word indices and hashes."""
     s, lens, at = words(buf, offs)
@@ -84,14 +99,14 @@ def votes(buf: np.ndarray, offs: np.ndarray, lexicons: list[KeySet]) -> np.ndarr
     """The votes of all voters (documents x voters)."""
     n = len(offs) - 1
     doc, count, kinds = features(buf, offs)
-    seeds = [KeySet(_hashes(x)) for x in INSULTS]
+    seeds = _seeds()
     out = np.zeros((n, _NVOTERS), np.int8)
     hit = np.zeros(len(doc), bool)
-    for v, (lexicon, (at, h)) in enumerate([(seeds[0], kinds[0]), (seeds[1], kinds[0]), *zip(lexicons, kinds, strict=True)]):
+    for v, (lexicon, (at, h)) in enumerate([*((x, kinds[0]) for x in seeds), *zip(lexicons, kinds, strict=True)]):
         found = at[lexicon.find(h)[0]]
         hit[found] = True
         out[np.unique(doc[found]), v] = _TOXIC
-    v = 2 + len(kinds)
+    v = len(seeds) + len(kinds)
     hits = np.bincount(doc[hit], minlength=n)
     share = hits / np.maximum(count, 1)
     out[:, v] = np.where(share >= 0.006, _TOXIC, np.where(share < 0.001, _CLEAN, _ABSTAIN))
@@ -116,7 +131,7 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """Labelled documents: their features (kind, document, hash, count), labels and vote codes need no text any more."""
+    """Documents of a bounded sample: their features (kind, document, hash, count), and labels or posteriors."""
 
     label: np.ndarray
     kind: np.ndarray
@@ -207,8 +222,9 @@ def fit_label_model(codes: np.ndarray, n: np.ndarray, known: np.ndarray, rounds:
             back = np.einsum("yp,pa->ya", w, one[:, j]) + 1.0
             back /= back.sum(1, keepdims=True)
             c = c + 2.0 * back[:, None]
-            if not anchored and j < _NVOTERS - 4:  # unlabelled: a lexicon seldom hits clean text, whatever others say
+            if not anchored and j < _NVOTERS - 4:  # unlabelled: a lexicon seldom hits clean text and often toxic text, whatever others say
                 c[0] += 0.2 * n.sum() * np.array([0.989, 0.01, 0.001])
+                c[1] += 0.2 * max(1.0, toxic) * np.array([0.69, 0.01, 0.3])
             table[j] = c / c.sum(2, keepdims=True)
         model = LabelModel(float(np.clip(toxic / max(1.0, n.sum()), 1e-4, 0.5)), parent, table)
         now = model.posterior(codes)
@@ -267,12 +283,21 @@ class Classifier:
             pair, times = np.unique(doc[at[pos]].astype(np.int64) * (len(w) + 1) + k, return_counts=True)
             d = pair // (len(w) + 1)
             z += np.bincount(d, density(times, count[d]) * w[pair % (len(w) + 1)], len(count))
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        return np.where(count > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
+
+
+def matched_bias(z: np.ndarray, weight: np.ndarray, total: float) -> float:
+    """What to add to the logits ``z`` so that their weighted probabilities add up to ``total``."""
+    low, high = -40.0, 40.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (weight / (1 + np.exp(-np.clip(z + mid, -50, 50)))).sum() < total else (low, mid)
+    return (low + high) / 2
 
 
-def fit_classifier(sample: Sample, q: np.ndarray, prior: float, lexicons: list[KeySet], rounds: int = 300) -> Classifier:
-    """Logistic regression with posterior labels ``q``; its bias is set for the share ``prior`` of toxic documents."""
-    lexicons = [KeySet(np.concatenate([lexicons[0].keys, *map(_hashes, INSULTS)])), *lexicons[1:]]
+def fit_classifier(sample: Sample, q: np.ndarray, weight: np.ndarray, lexicons: list[KeySet], rounds: int = 300) -> Classifier:
+    """Logistic regression with posterior labels ``q``; ``weight`` is how many documents of the table a row stands for, and sets the bias alone."""
+    lexicons = [KeySet(np.concatenate([lexicons[0].keys, *(x.keys for x in _seeds())])), *lexicons[1:]]
     kinds = 1 + len(PREFIXES)
     key, inv = np.unique(np.stack([sample.kind.astype(np.uint64), sample.key], 1), axis=0, return_inverse=True) if len(sample.key) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
     inv = inv.ravel()
@@ -304,8 +329,7 @@ def fit_classifier(sample: Sample, q: np.ndarray, prior: float, lexicons: list[K
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w = (w - 0.05 * (m / c1) / (np.sqrt(s / c2) + 1e-8)).astype(np.float32)
         b -= 0.05 * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
-    share = min(max(n1 / max(n, 1), 1e-3), 0.999)
-    b += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    b += matched_bias(x @ w + b, weight, float((weight * q).sum())) if n else -40.0
     sets, weights = [], []
     for kind in range(kinds):
         own = top[key[top, 0] == kind] if len(top) else top
@@ -315,43 +339,42 @@ def fit_classifier(sample: Sample, q: np.ndarray, prior: float, lexicons: list[K
     return Classifier(sets, weights, float(b), lexicons, w[len(top) :].astype(float))
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Sample:
+def _gather(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Sample:
     rows = [b for b in batches if b.num_rows]
     if not rows:
-        return _sample(pa.array([], pa.string()), np.zeros(0, np.int64))
-    table = pa.Table.from_batches(rows).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return _sample(table.column("text"), table.column("toxic").to_numpy())
+        return _sample(pa.array([], pa.string()), np.zeros(0))
+    table = pa.Table.from_batches(rows).sort_by([(key, "ascending"), ("text", "ascending")])
+    return _sample(table.column("text"), table.column(value).to_numpy())
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sample = _gather(batches)
+    sample = _gather(batches, "doc_id", "toxic")
     keys = [mine(sample, kind) for kind in range(1 + len(PREFIXES))]
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(keys)], pa.binary())], ["model"])
 
 
-def _train(keys: list[np.ndarray], model: LabelModel):
+def _train(keys: list[np.ndarray], totals: tuple[int, int]):
+    """totals: documents of posterior below and from a half."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = _gather(batches)
-        lexicons, q = [KeySet(k) for k in keys], np.zeros(len(sample.label))
-        if len(q):
-            raw, offs = buffers(sample.text)
-            for i, j in chunks(offs):
-                q[i:j] = model.posterior(_code(votes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lexicons)))
-            odds = np.where(sample.label == 1, LABEL_ACCURACY / (1 - LABEL_ACCURACY), (1 - LABEL_ACCURACY) / LABEL_ACCURACY)
-            q = q * odds / (q * odds + 1 - q)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_classifier(sample, q, model.prior, lexicons))], pa.binary())], ["model"])
+        sample = _gather(batches, "h", "q")
+        q, toxic = sample.label, sample.label >= 0.5
+        weight = np.where(toxic, totals[1] / max(1, toxic.sum()), totals[0] / max(1, (~toxic).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_classifier(sample, q, weight, [KeySet(k) for k in keys]))], pa.binary())], ["model"])
 
     return run
 
 
-def _count_votes(keys: list[np.ndarray]):
+def _vote(keys: list[np.ndarray]):
+    """Rows (key, text) to (key, vote code)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons = [KeySet(k) for k in keys]
         for b in batches:
-            raw, offs = buffers(b.column(0))
+            raw, offs = buffers(b.column(1))
             for i, j in chunks(offs):
-                code, n = np.unique(_code(votes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lexicons)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+                code = _code(votes(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lexicons))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(code)], ["h", "code"])
 
     return run
 
@@ -362,23 +385,32 @@ def labelled(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, c
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).union(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
-    # at most toxic_rows + clean_rows rows of 16 bytes, whatever the tables hold
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
+    # at most toxic_rows + clean_rows rows of 16 bytes, whatever the tables hold; the least text of a doc_id, so that one which repeats without end is one row
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    sample = written(labelled(docs, labels), "toxicity-sample")
-    one = sample.select("doc_id", "text", "toxic", "fold")  # bounded: see labelled()
-    keys = fitted(one.where("fold = 0"), _mine)
-    text = docs.select(F.lower("text").alias("text"))
-    # at most 3 ^ voters patterns; a few hundred occur
-    count = lambda df: df.mapInArrow(_count_votes(keys), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    seen = count(text).collect()
-    known = [{r.code: r.n for r in count(sample.where(f"fold = 1 and toxic = {y}").select("text")).collect()} for y in (0, 1)]
-    codes = sorted({r.code for r in seen} | {c for k in known for c in k})
-    total = {r.code: r.n for r in seen}
-    model = fit_label_model(np.array(codes, np.int64), np.array([total.get(c, 0) for c in codes]), np.array([[k.get(c, 0) for k in known] for c in codes], float).reshape(-1, 2))
-    return fitted(one.where("fold = 1"), _train(keys, model))
+    spark = docs.sparkSession
+    sample = written(labelled(docs, labels), "toxicity-labelled")
+    keys = fitted(sample.where("fold = 0").select("doc_id", "text", "toxic"), _mine)
+    told = docs.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.lower("text").alias("text"))
+    seen = written(told.mapInArrow(_vote(keys), "h long, code long"), "toxicity-votes")
+    # one row for each vote pattern that occurs: some hundreds, and never more than 3 ^ voters
+    total = {r.code: r.n for r in seen.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    known = sample.where("fold = 1").select("toxic", "text").mapInArrow(_vote(keys), "h long, code long").groupBy("h", "code").agg(F.count("*").alias("n")).collect()
+    known = {(r.code, r.h): r.n for r in known}
+    codes = sorted({*total, *(c for c, _ in known)})
+    n = np.array([total.get(c, 0) for c in codes])
+    model = fit_label_model(np.array(codes, np.int64), n, np.array([[known.get((c, y), 0) for y in (0, 1)] for c in codes], float).reshape(-1, 2))
+    q = model.posterior(np.array(codes, np.int64))
+    table = spark.createDataFrame([(c, float(x)) for c, x in zip(codes, q, strict=True)], "code long, q double")
+    each = seen.join(F.broadcast(table) if len(codes) <= PATTERNS else table, "code").select("h", "q").distinct()
+    order = [F.xxhash64("h"), F.col("h")]
+    picked = each.where("q >= 0.5").orderBy(*order).limit(TRAIN_TOXIC).union(each.where("q < 0.5").orderBy(*order).limit(TRAIN_CLEAN))
+    # at most TRAIN_TOXIC + TRAIN_CLEAN rows of 16 bytes
+    texts = told.join(F.broadcast(picked), "h").groupBy("h", "q").agg(F.first("text").alias("text"))
+    return fitted(written(texts, "toxicity-train").select("h", "text", "q"), _train(keys, (int(n[q < 0.5].sum()), int(n[q >= 0.5].sum()))))
 
 
 def scorer(classifier: Classifier):
