@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from vellumflow.llm import langid as L
 
 from .data import DOCS, none, odd_docs
@@ -51,3 +53,17 @@ def test_odd_rows_and_empty(spark):
     assert L.identified(none(spark), L.fit(none(spark))).count() == 0
     unlabelled = docs.selectExpr("doc_id", "text", "string(null) as lang", "source", "n_chars")
     assert {r.language for r in L.identified(unlabelled, L.fit(unlabelled)).collect()} == {"und"}
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(i, "word", f"l{i}", "s", 4) for i in range(6)], DOCS)
+    assert len(L.fit(docs, 2, 6).languages) == 6
+    with pytest.raises(ValueError, match="bound is 5"):
+        L.fit(docs, 2, 5)
+
+
+def test_a_document_without_end_does_not_fill_the_sample(spark):
+    docs = spark.createDataFrame(made(50, 3), DOCS)
+    many = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(300)).select(docs.columns))
+    a, b = L.fit(docs), L.fit(many)
+    assert (a.dense == b.dense).all()

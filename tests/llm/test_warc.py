@@ -36,18 +36,45 @@ def test_members_and_damage(tmp_path):
     record = lambda body: b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
     one = tmp_path / "a.warc.gz"
     one.write_bytes(gzip.compress(record(b"x") + record(b"")) + gzip.compress(record(b"yy")) + b"\0" * 100)
-    rows = W.normalise_file(str(one), str(tmp_path / "out"))
+    whole = lambda *a: [r for part in W.normalise_file(*a) for r in part]
+    rows = whole(str(one), str(tmp_path / "out"))
     assert [(r[1], r[7]) for r in rows] == [(0, 1), (1, 0), (2, 2)]
-    again = W.normalise_file(str(tmp_path / "out" / "a.warc.gz"), str(tmp_path / "twice"))
+    again = whole(str(tmp_path / "out" / rows[0][0]), str(tmp_path / "twice"))
     assert [r[2:] for r in again] == [r[2:] for r in rows]  # what is normal stays as it is
-    whole = gzip.compress(record(b"x" * 10_000))
-    for name, raw in (("cut", whole[:-20]), ("head", gzip.compress(b"WARC/1.0\r\nContent-")), ("body", gzip.compress(record(b"xyz")[:-6])), ("kind", gzip.compress(b"HTTP/1.0\r\n\r\n")), ("size", gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\n")), ("junk", b"not gzip")):
+    long = gzip.compress(record(b"x" * 10_000))
+    for name, raw in (("cut", long[:-20]), ("head", gzip.compress(b"WARC/1.0\r\nContent-")), ("body", gzip.compress(record(b"xyz")[:-6])), ("kind", gzip.compress(b"HTTP/1.0\r\n\r\n")), ("size", gzip.compress(b"WARC/1.0\r\nA: b\r\n\r\n")), ("junk", b"not gzip")):
         bad = tmp_path / f"{name}.warc.gz"
         bad.write_bytes(raw)
         with pytest.raises((ValueError, zlib.error), match=name):
-            W.normalise_file(str(bad), str(tmp_path / "out"))
+            whole(str(bad), str(tmp_path / "out"))
 
 
 def test_empty(spark, tmp_path):
     paths = W.write_monoliths(spark.createDataFrame([], PAGES), f"file://{tmp_path}/none")
     assert paths.count() == 0 and W.normalised(paths, f"file://{tmp_path}/out").count() == 0
+
+
+def test_equal_names_in_two_folders_stay_apart(spark, tmp_path):
+    record = lambda body: b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.warc.gz").write_bytes(gzip.compress(record(folder.encode() * 5)))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{f}/x.warc.gz",) for f in "abb"] + [(None,)], "path string")
+    index = W.normalised(paths, f"file://{tmp_path}/out").collect()
+    bodies = sorted(W.read_record(f"file://{tmp_path}/out", r.file, r.offset, r.length)[1] for r in index)
+    assert bodies == [b"aaaaa", b"bbbbb"] and len({r.file for r in index}) == 2
+
+
+def test_result_repeats(spark, tmp_path):
+    spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(40)], PAGES).coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    first, second = (sorted(map(tuple, W.op5_warc(spark, str(tmp_path)).collect())) for _ in range(2))
+    assert first == second and len(first) == 40
+
+
+def test_index_in_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "INDEX_ROWS", 2)
+    body = b"".join(b"WARC/1.0\r\nContent-Length: 1\r\n\r\n%d\r\n\r\n" % k for k in range(5))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(body))
+    parts = list(W.normalise_file(str(tmp_path / "a.warc.gz"), str(tmp_path / "out")))
+    assert [[r[1] for r in p] for p in parts] == [[0, 1], [2, 3], [4]]
+    assert len((tmp_path / "out" / parts[0][0][0].replace(".warc.gz", ".idx")).read_text().splitlines()) == 5

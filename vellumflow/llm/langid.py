@@ -4,9 +4,10 @@ A text is cut into windows of ``WINDOW`` bytes, the last one padded with zeros.
 so that a filter is a table of weights by byte and position), max pooling over the window and a dense layer with
 softmax give each window's log probabilities; a text's are their sum, weighted by the windows' bytes. All windows
 of all texts are read. The network is trained in numpy, by Adam with back-propagation through the maxima, on the windows of at most
-``ROWS`` labelled documents for each of at most ``LANGUAGES`` languages, those of least hash of doc_id, and on at most ``TRAIN_WINDOWS`` of these.
+``ROWS`` labelled documents for each language, those of least hash of doc_id, and on at most ``TRAIN_WINDOWS`` of these. More than ``languages`` labels, ``LANGUAGES``
+unless told otherwise, are an error: the sample would have no bound.
 
-Rows with a null label or text don't train. Null and empty texts, and all texts where nothing is labelled, have language "und" and
+Rows with a null label or text don't train; of rows with one doc_id and label the least text does. A doc_id has to be an integer. Null and empty texts, and all texts where nothing is labelled, have language "und" and
 confidence 0. Ties go to the language that sorts first. Repeated rows each have their result. Other columns are not
 read. An empty table gives an empty result.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernel import buffers, chunks
-from .shared import fitted, written
+from .shared import checkpointed, fitted, written
 
 WINDOW = 512
 WIDTHS = (2, 3, 4)
@@ -170,14 +171,18 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["model"])
 
 
-def fit(docs: DataFrame, rows: int = ROWS) -> Network:
+def fit(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> Network:
     """Trains on a bounded sample of the labelled documents, in one task."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().orderBy("_lang", "_id").limit(rows * LANGUAGES)
+    known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang")).where("_id is not null and _lang is not null")
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    picked = known.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("_id", "_lang").orderBy("_lang", "_id")
+    picked = checkpointed(picked.limit(rows * languages + 1))
+    if (n := picked.select("_lang").distinct().count()) > languages:
+        raise ValueError(f"{n} or more languages, but the bound is {languages}")
+    # at most rows x languages rows of two short values
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("text is not null")
-    sample = written(both.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text"), "langid-sample")
-    return fitted(sample, _fit)
+    met = both.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return fitted(written(met, "langid-sample"), _fit)
 
 
 def _apply(net: Network):

@@ -2,11 +2,12 @@
 
 A monolithic ``.warc.gz`` is one gzip stream over the whole file, so no record can be read without all before it. The
 normaliser inflates such a stream once, in pieces, and writes each record as a gzip member of its own to ``<name>.warc.gz`` in the target
-folder, with a sidecar ``<name>.idx`` (tab-separated: record, offset, length, type, id, uri, n_bytes, sha1). Each file is one task;
-nothing of a file but a piece is in memory, however long a record is. Files of several members, or already normal, pass as well.
+folder, with a sidecar ``<name>.idx`` (tab-separated: record, offset, length, type, id, uri, n_bytes, sha1). The name is the file's own, with a hash of its
+whole path (below ``root``, where that is given), so files of one name in several folders stay apart. Each file is one task;
+nothing of a file but a piece, and ``INDEX_ROWS`` rows of its index, is in memory, however long it or a record is. Files of several members, or already normal, pass as well.
 
-Files are written under a name of the attempt's own and renamed, so a task that is run again does no harm. A file that
-is cut short or malformed raises an error, with its name. Null html is an empty body, a null url gives no target URI, a null page_id no record id of a page.
+Files are written under a name of the attempt's own and renamed, first the index, then the records: so a task that is run again does no harm, and where there are
+records there is their index. A file that is cut short or malformed raises an error, with its name. Null html is an empty body, a null url gives no target URI, a null page_id no record id of a page; a page_id has to be an integer.
 Repeated rows each are a record. Other columns are not read. An empty table gives no files and an empty result.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of html after which a written file is full.
 FILE_BYTES = 64 << 20
+INDEX_ROWS = 1000
 INDEX = "file string, record long, offset long, length long, type string, id string, uri string, n_bytes long, sha1 string"
 _LENGTH = re.compile(rb"^content-length:\s*(\d+)\s*$", re.I | re.M)
 
@@ -46,27 +49,32 @@ def _header(page_id: int | None, url: str | None, n: int) -> bytes:
 
 
 def _monolith(folder: str):
+    """Files are named by task and place in it; an attempt writes under a name of its own and renames what is whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        sink = None
+        task, own, files, sink = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None
+
+        def end() -> pa.RecordBatch:
+            sink.write(squeeze.flush())
+            sink.close()
+            system.move(f"{root}/.{own}", f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
+
         for b in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if sink is None:
-                    name, held = f"crawl-{uuid.uuid4().hex}.warc.gz", 0
-                    sink, squeeze = system.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    name, held, files = f"crawl-{task:06d}-{files:04d}.warc.gz", 0, files + 1
+                    sink, squeeze = system.open_output_stream(f"{root}/.{own}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
                 body = (html or "").encode()
                 sink.write(squeeze.compress(_header(page_id, url, len(body)) + body + b"\r\n\r\n"))
                 held += len(body)
                 if held >= FILE_BYTES:
-                    sink.write(squeeze.flush())
-                    sink.close()
+                    yield end()
                     sink = None
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
         if sink is not None:
-            sink.write(squeeze.flush())
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
+            yield end()
 
     return run
 
@@ -153,55 +161,69 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, int, Iterator[byte
         yield head, n, reader.body(n)
 
 
-def normalise_file(path: str, target: str, level: int = LEVEL) -> list[tuple]:
-    """Normalises one file; its index rows (see ``INDEX``)."""
+def target_name(path: str, root: str | None = None) -> str:
+    """The name of a file's normal form, without extension."""
+    below = path.removeprefix(root.rstrip("/") + "/") if root else path
+    stem = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".warc")
+    return f"{stem}-{hashlib.sha1(below.encode()).hexdigest()[:16]}"
+
+
+def normalise_file(path: str, target: str, level: int = LEVEL, root: str | None = None) -> Iterator[list[tuple]]:
+    """Normalises one file; its index rows (see ``INDEX``), some at a time. The file is there once all are read."""
     system, source = _open(path)
     out_system, folder = _open(target)
     out_system.create_dir(folder, recursive=True)
-    name = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".warc")
-    temporary, rows, offset = f"{folder}/.{name}-{uuid.uuid4().hex}", [], 0
+    name = target_name(path, root)
+    temporary, rows, offset, k = f"{folder}/.{name}-{uuid.uuid4().hex}", [], 0, 0
     try:
-        with system.open_input_stream(source, compression=None) as raw, out_system.open_output_stream(temporary, compression=None) as sink:
+        with (
+            system.open_input_stream(source, compression=None) as raw,
+            out_system.open_output_stream(temporary, compression=None) as sink,
+            out_system.open_output_stream(f"{temporary}.idx", compression=None) as index,
+        ):
             for head, n, body in records(inflated(raw)):
                 squeeze, digest = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
-                parts = [squeeze.compress(head)]
+                parts, held = [squeeze.compress(head)], 0
                 for piece in body:
                     digest.update(piece)
                     parts.append(squeeze.compress(piece))
-                    if sum(map(len, parts)) > PIECE:
+                    held += len(parts[-1])
+                    if held > PIECE:
                         sink.write(b"".join(parts))
-                        parts = []
+                        parts, held = [], 0
                 parts += [squeeze.compress(b"\r\n\r\n"), squeeze.flush()]
                 sink.write(b"".join(parts))
                 length = sink.tell() - offset
-                rows.append((f"{name}.warc.gz", len(rows), offset, length, _field(head, b"WARC-Type"), _field(head, b"WARC-Record-ID"), _field(head, b"WARC-Target-URI"), n, digest.hexdigest()))
-                offset += length
-        with out_system.open_output_stream(f"{temporary}.idx", compression=None) as sink:
-            for row in rows:
-                sink.write(("\t".join("" if x is None else str(x).replace("\t", "%09") for x in row[1:]) + "\n").encode())
+                row = (f"{name}.warc.gz", k, offset, length, _field(head, b"WARC-Type"), _field(head, b"WARC-Record-ID"), _field(head, b"WARC-Target-URI"), n, digest.hexdigest())
+                index.write(("\t".join("" if x is None else str(x).replace("\t", "%09") for x in row[1:]) + "\n").encode())
+                rows.append(row)
+                offset, k = offset + length, k + 1
+                if len(rows) >= INDEX_ROWS:
+                    yield rows
+                    rows = []
     except (ValueError, zlib.error) as x:
         raise ValueError(f"{path}: {x}") from x
-    out_system.move(temporary, f"{folder}/{name}.warc.gz")
     out_system.move(f"{temporary}.idx", f"{folder}/{name}.idx")
-    return rows
+    out_system.move(temporary, f"{folder}/{name}.warc.gz")
+    yield rows
 
 
-def _normalise(target: str, level: int):
+def _normalise(target: str, level: int, root: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in INDEX.split(", ")]
         types = [pa.int64() if c.endswith("long") else pa.string() for c in INDEX.split(", ")]
         for b in batches:
             for path in b.column(0).to_pylist():
-                rows = normalise_file(path, target, level)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+                for rows in normalise_file(path, target, level, root):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     return run
 
 
-def normalised(paths: DataFrame, target: str, level: int = LEVEL) -> DataFrame:
+def normalised(paths: DataFrame, target: str, level: int = LEVEL, root: str | None = None) -> DataFrame:
     """Normalises the files of the column ``path``, each in a task of its own, to the folder ``target``; the index."""
-    n = max(1, paths.count())
-    return written(paths.select("path").distinct().repartition(n, "path").mapInArrow(_normalise(target, level), INDEX), "warc-index")
+    own = paths.select("path").where("path is not null").distinct()
+    return written(own.repartition(max(1, own.count())).mapInArrow(_normalise(target, level, root), INDEX), "warc-index")
 
 
 def read_record(target: str, file: str, offset: int, length: int) -> tuple[bytes, bytes]:
@@ -216,6 +238,7 @@ def read_record(target: str, file: str, offset: int, length: int) -> tuple[bytes
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages, written as monolithic files, normalised: the index with each record's page_id."""
-    paths = write_monoliths(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc-crawl"))
-    index = normalised(paths, new_path(spark, "warc"))
+    crawl = new_path(spark, "warc-crawl")
+    paths = write_monoliths(spark.read.parquet(f"{sf_dir}/pages.parquet"), crawl)
+    index = normalised(paths, new_path(spark, "warc"), root=crawl)
     return index.select(F.regexp_extract("id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long").alias("page_id"), "file", "record", "offset", "length", "uri", "n_bytes", "sha1")
