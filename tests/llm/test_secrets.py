@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ FOUND = ["AKIA" + "ABCD1234" * 2, 'password = "hunter2hunter2"', "ghp_" + "a1B2"
 
 
 def brute(rows):
-    return sorted((i, n, m.group().decode()) for i, t in rows if t for n, r in S.RULES for m in re.finditer(r.encode(), t.encode()) if m.group())
+    return sorted((i, n, m.group()) for i, t in rows if t for n, r in S.RULES for m in re.finditer(r, t, re.ASCII) if m.group())
 
 
 def test_equals_full_scan(spark):
@@ -27,14 +28,47 @@ def test_equals_full_scan(spark):
 def test_every_match_is_a_candidate(text, secret, at):
     import numpy as np
 
-    raw = (text[:at] + secret + text[at:]).encode()
+    own = text[:at] + secret + text[at:]
+    raw = own.encode()
     scanner = S.Scanner(S.RULES)
     buf, offs = np.frombuffer(raw + raw, np.uint8), np.array([0, len(raw), 2 * len(raw)])
-    got = sorted((d, k, s, e) for d, k, s, e in scanner.scan(buf, offs))
-    want = sorted((d, k, m.start(), m.end()) for d in (0, 1) for k, (_, r) in enumerate(S.RULES) for m in re.finditer(r.encode(), raw) if m.group())
+    got = sorted((d, *m) for d, _, found in scanner.scan(buf, offs) for m in found)
+    want = sorted((d, k, *m.span()) for d in (0, 1) for k, (_, r) in enumerate(S.RULES) for m in re.finditer(r, own, re.ASCII) if m.group())
     assert got == want
 
 
+ACCENTS = ["password: ééé", "password: éééééé", "password: " + "é" * 129, "pwd=" + "x" * 127 + "é", "Paſſword: abcdefgh", "passWORD='über-geheim'", "https://ü:ééé@x", "to\u212aen = " + "a" * 20, "secret=" + "b" * 20 + "é", "é" + "f" * 40 + "é", "password\x0b: abcdefgh", "ToKen:\n" + "Ab3_" * 5]
+
+
+def test_equals_sql_on_characters_of_many_bytes(spark):
+    rows = [(i, f"ü {x} end", "en", "s", 1) for i, x in enumerate(ACCENTS)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id, r.rule, r.secret) for r in S.secrets(docs).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == sorted(con.execute(S.OP8_SQL).fetchall()) == brute([r[:2] for r in rows])
+    assert {i for i, *_ in got} == {1, 2, 3, 5, 6, 8, 9, 11}
+    clean = {r.doc_id: r.text for r in S.redacted(docs).collect()}
+    assert clean[2] == clean[3] == "ü [password] end" and not any("\ufffd" in t for t in clean.values())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["abc", "x", "[ab]", "[^a]", "(?:ab|cd)", "(?:abcd|x[yz]+)", "a?", "(?:bc)*", "b{2}", "c{1,3}", r"\b", r"\d", ".", "é", "(?i:Q)", "[a-c-]", "[]x]", r"\.", "(x|)", "a+?", "(?P<n>ab)"]), min_size=1, max_size=6), st.text("abcdxyzq1.é-]", max_size=12))
+def test_derived_queries_hold_for_every_match(parts, text):
+    """Whatever a regex matches has the trigrams that its query asks for."""
+    regex = "".join(parts).replace("(?P<n>ab)(?P<n>ab)", "ab")
+    try:
+        found = [m.group() for m in re.finditer(regex, text, re.ASCII)]
+    except re.error:
+        return
+
+    def holds(q, raw):
+        return q.op == "all" or (q.gram in raw if q.op == "tri" else (all if q.op == "and" else any)(holds(p, raw) for p in q.parts))
+
+    assert all(holds(S.derive(regex), m.lower().encode()) for m in found)
+
+
 @pytest.mark.parametrize(("regex", "query"), [("abc", S.Query("tri", b"abc")), ("[0-9a-f]{40}", S.ALL), ("x?", S.ALL), ("(?i)ABC", S.Query("tri", b"abc")), ("a.c", S.ALL)])
 def test_queries(regex, query):
     assert S.derive(regex) == query
