@@ -1,4 +1,8 @@
+import itertools
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellumflow.llm import extraction as X
@@ -9,14 +13,7 @@ PAGES = "page_id long, url string, html string"
 
 
 def model():
-    xs, ys, ws = [], [], []
-    for source, lines in list(X.made_pages())[:150]:
-        page = X.parse(source)
-        y, w = X.node_labels(page, lines)
-        xs.append(X.node_features(page)[w > 0])
-        ys.append(y[w > 0])
-        ws.append(w[w > 0])
-    return X.boost(np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws))
+    return X.train(list(X.made_pages())[:150])
 
 
 def test_held_out_pages():
@@ -41,7 +38,7 @@ def test_parser():
 def test_broken_html_does_not_fail():
     for source in ("", "<", "<p", "</div></div>", "<!-- open", "<script>x", "a < b > c", "<p><table></p><td>", "\0<b\n>", "<div " + "x" * 10_000, "<p>" * 5000 + "deep", "text only"):
         page = X.parse(source)
-        X.node_features(page)
+        assert X.node_features(page, np.zeros(X.TOKENS)).shape == (len(page.tag), X.WIDTH)
         assert len(page.tag) == len(page.parent) == len(page.attrs)
 
 
@@ -57,6 +54,90 @@ def test_decoding_never_contradicts():
     assert X.decode(page, np.array([0.5, 0.01, 0.01, 0.99]))[1:].tolist() == [False, False, True]
 
 
+def exhaustive(page, p):
+    """The greatest log-likelihood over all ways to keep, drop or divide each subtree, by trying them."""
+    has = np.zeros(len(page.tag))
+    has[page.piece_node] = 1
+    w = 0.3 + 0.7 * has
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    yes, no = w * np.log(p), w * np.log(1 - p)
+    kids = [[j for j in range(len(p)) if page.parent[j] == i] for i in range(len(p))]
+
+    def whole(i, value):
+        return value[i] + sum(whole(j, value) for j in kids[i])
+
+    def ways(i):
+        out = [whole(i, yes), whole(i, no)]
+        if kids[i]:
+            out += [max(yes[i], no[i]) * has[i] - X.MIXED_COST + sum(c) for c in itertools.product(*(ways(j) for j in kids[i]))]
+        return out
+
+    return max(ways(0)), yes, no, has, kids
+
+
+def worth(page, kept, yes, no, has, kids):
+    """The log-likelihood of a decision: a subtree of one mind counts whole, where that is better."""
+
+    def of(i):
+        under = [of(j) for j in kids[i]]
+        same = [kept[i] == s and all(u[1] == s for u in under) for s in (True, False)]
+        options = [(sum_of(i, v), s) for s, v, ok in ((True, yes, same[0]), (False, no, same[1])) if ok]
+        if kids[i] and (not has[i] or kept[i] == (yes[i] > no[i])):
+            options.append((max(yes[i], no[i]) * has[i] - X.MIXED_COST + sum(u[0] for u in under), None))
+        best = max(options, key=lambda o: o[0])
+        return best[0], (True if same[0] else False if same[1] else None)
+
+    def sum_of(i, v):
+        return v[i] + sum(sum_of(j, v) for j in kids[i])
+
+    return of(0)[0]
+
+
+def test_decoding_is_the_best_of_all_choices():
+    rng = np.random.default_rng(3)
+    for source in ("<div><p>a</p><p>b</p></div>", "<div>x<p>a<b>c</b></p><p>b</p></div>", "<ul><li>a<li>b<li>c</ul><p>d</p>", "<div><div><p>a</p></div><div>b<i>c</i></div></div>"):
+        page = X.parse(source)
+        for _ in range(40):
+            p = rng.random(len(page.tag))
+            best, *rest = exhaustive(page, p)
+            assert worth(page, X.decode(page, p), *rest) == pytest.approx(best)
+
+
+def test_hostile_markup_is_parsed_in_linear_time():
+    n = 40_000
+    pages = ["<a " * n, "<div>" * n + "</b>" * n, "<form>" * n, "<p>" + "<ul>" + "<form>" * n, "<span>" * n + "<li>" * n, "<script " * n, "</title " * n, "<!-- " * n, "<b>x</b>" * n, "<title>" * n, "<i>" * n + "</i>" * n, "<table>" + "<tr><td>x" * n, "&lt" * n]
+    for source in pages:
+        began = time.perf_counter()
+        page = X.parse(source)
+        X.text_of(page, np.ones(len(page.tag), bool))
+        assert time.perf_counter() - began < 3, source[:20]
+    began = time.perf_counter()
+    assert X.parse("<a " * 70_000).tag == ["#root"] and time.perf_counter() - began < 1
+
+
+def test_implied_ends():
+    page = X.parse("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<ul><li>y</ul><li>z</ul><dl><dt>t<dd>d<dt>u</dl><p>one<p>two<div>three")
+    up = {text: page.tag[page.parent[node]] for node, text in zip(page.piece_node, page.piece, strict=True)}
+    assert up == {"a": "tr", "b": "tr", "c": "tr", "x": "ul", "y": "ul", "z": "ul", "t": "dl", "d": "dl", "u": "dl", "one": "#root", "two": "#root", "three": "#root"}
+    rows = [i for i, t in enumerate(page.tag) if t == "tr"]
+    assert [page.tag[page.parent[i]] for i in rows] == ["table", "table"]
+
+
+def test_attribute_tokens_are_learnt():
+    """Words that no list knows tell main text from the rest."""
+    rng = np.random.default_rng(1)
+    made = []
+    for _ in range(80):
+        text = [f"{k} {rng.integers(0, 999)} word word" for k in range(3)]
+        parts = [f'<div class="zork-{rng.integers(9)}">{text[0]}</div>', f'<div id="frob">{text[1]}</div>', f'<div class="zork">{text[2]}</div>']
+        rng.shuffle(parts)
+        made.append(("<body>" + "".join(parts), [text[0], text[2]]))
+    m = X.train(made[:60])
+    assert all(set(X.extract(s, m)[0].split("\n")) == set(lines) for s, lines in made[60:])
+    zork, frob = (m.odds[X.token_numbers(t)[0]] for t in ("zork", "frob"))
+    assert zork > 0.5 > -0.5 > frob
+
+
 def test_table(spark):
     made = list(X.made_pages())[:60]
     docs = spark.createDataFrame([(i, "\n".join(lines), "en", "s", 1) for i, (_, lines) in enumerate(made)], DOCS)

@@ -1,7 +1,8 @@
 """Operator 4, main text of HTML pages: gradient-boosted trees over DOM nodes, decoded over the tree.
 
-A tolerant parser makes the DOM; each node has features of its subtree (text, tags, density, links), its attribute tokens, depth,
-siblings and ancestors. Boosted trees, trained here, give the probability that a node's subtree is mostly main text. Decoding
+A tolerant parser makes the DOM, in time linear in the page; each node has features of its subtree (text, tags, density, links), its depth,
+siblings and ancestors, and its attribute tokens: those of class, id and role, hashed to ``TOKENS`` numbers, whose log odds of main text are learnt from the training
+pages (for the pages of one half from the other half, so that the trees do not trust a token seen once). Boosted trees, trained here, give the probability that a node's subtree is mostly main text. Decoding
 picks for each node, from the leaves up, to keep all of its subtree, to drop all of it, or to leave the choice to its children,
 with the greatest total log-likelihood; so no node is kept under a dropped one or dropped under a kept one.
 
@@ -9,8 +10,8 @@ Training: ``TRAIN_PAGES`` pages at most, of least hash of page_id, whose source
 doc_id); a node's text is main if it is a line of that document (the last such nodes, where it comes again). To these come pages made from templates, which alone serve where no
 source is known. The parser and the features read whole pages.
 
-Null and empty html gives an empty text of no nodes. Repeated rows each have their result. A page_id that is null is kept. Other
-columns are not read. An empty table gives an empty result.
+Null and empty html gives an empty text of no nodes. Repeated rows each have their result. A page_id that is null is kept; ids have to be integers. Of the rows
+with one page_id, or one doc_id, the least html or text serves for training. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,33 +19,38 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fitted, written
+from .shared import checkpointed, fitted, written
 
 TRAIN_PAGES = 600
 MADE_PAGES = 200
 ROUNDS, DEPTH, BINS, RATE = 40, 4, 32, 0.3
 MIXED_COST = 0.5
+#: Numbers of attribute tokens, and how many nodes of even odds each is taken to have been seen in.
+TOKENS, EVEN = 1024, 4.0
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[!?][^>]*>)")
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul title".split())
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = frozenset("ul ol table div article section body html td th dl nav main aside".split())
+#: What an opening tag closes, by kind: the innermost open element of the kind, unless one of the kind's bounds is open within it.
+_KINDS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_BOUNDS = ("ul ol table div article section body html td th dl nav main aside", *["ul ol dl table select"] * 2, "table", "ul ol dl table select tr", "select")
+_ENDS = {tag: tuple(k for k, names in enumerate(_BOUNDS) if tag in names.split()) for tag in {t for names in _BOUNDS for t in names.split()}}
 _GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "li dd dt", "td th", "a", "b i em strong span u small code", "div section ul ol table", "article main", "nav footer aside header form", "head script style title meta noscript")
 _GROUP = {t: k for k, names in enumerate(_GROUPS) for t in names.split()}
-_GOOD = re.compile(r"article|content|main|body|post|entry|text|story")
-_BAD = re.compile(r"nav|menu|foot|side|\bads?\b|advert|comment|promo|share|social|banner|cookie|related|breadcrumb|widget|sponsor")
+_TOKEN = re.compile(r"[a-z0-9]+")
 
 
 @dataclass
@@ -60,9 +66,14 @@ class Page:
 
 
 def parse(text: str) -> Page:
+    """The tree of a page. Beyond the last ``>`` there is only text, so no search runs to the end in vain; what an end tag or an implied end
+    closes is known from counts and from marks on the open elements, without a walk up the tree."""
     page = Page(["#root"], [-1], [""], [], [], [])
-    stack, pos, line, n = [0], 0, 0, len(text)
+    pos, line, n = 0, 0, len(text)
+    last = text.rfind(">") + 1
     tag, parent, attrs = page.tag, page.parent, page.attrs
+    stack, near = [0], [(0,) * len(_BOUNDS)]  # open elements, and for each, by kind, the depth of the element that would be closed (0: none)
+    open_: Counter[str] = Counter()
 
     def say(end: int) -> None:
         raw = text[pos:end]
@@ -71,7 +82,12 @@ def parse(text: str) -> Page:
             page.piece.append(" ".join(entities.unescape(raw).split()))
             page.line.append(line)
 
-    while (m := _TAG.search(text, pos)) is not None:
+    def close(depth: int) -> None:
+        for i in stack[depth:]:
+            open_[tag[i]] -= 1
+        del stack[depth:], near[depth:]
+
+    while (m := _TAG.search(text, pos, last)) is not None:
         say(m.start())
         pos = m.end()
         if m[1]:
@@ -84,25 +100,16 @@ def parse(text: str) -> Page:
         if name in _BLOCK or name == "br":
             line += 1
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    del stack[k:]
-                    break
+            if open_[name] > 0:
+                k = len(stack) - 1
+                while tag[stack[k]] != name:
+                    k -= 1
+                close(k)
             continue
-        if name in _BLOCK and name != "hr":
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tag[stack[k]] in _SCOPE:
-                    break
-        if name in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] in _CLOSES[name]:
-                    del stack[k:]
-                    break
-                if tag[stack[k]] in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if name in _BLOCK and name != "hr" and near[-1][0]:
+            close(near[-1][0])
+        if (kind := _KINDS.get(name)) and near[-1][kind]:
+            close(near[-1][kind])
         if name == "br":
             continue
         tag.append(name)
@@ -111,7 +118,7 @@ def parse(text: str) -> Page:
         if name in _VOID or m[4].endswith("/"):
             continue
         if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, pos)
+            end = _end_of(name).search(text, pos, last)
             if name == "title" and end:
                 stack.append(len(tag) - 1)
                 say(end.start())
@@ -119,13 +126,49 @@ def parse(text: str) -> Page:
             pos = end.end() if end else n
             line += 1
             continue
+        if name in _ENDS or kind is not None:
+            marks = list(near[-1])
+            for k in _ENDS.get(name, ()):
+                marks[k] = 0
+            if kind is not None:
+                marks[kind] = len(stack)
+            near.append(tuple(marks))
+        else:
+            near.append(near[-1])
         stack.append(len(tag) - 1)
-    say(n)
+        open_[name] += 1
+    end = text.find("<!--", pos)
+    say(n if end < 0 else end)
     return page
 
 
-def node_features(page: Page) -> np.ndarray:
-    """Features of all nodes (n x ``WIDTH``)."""
+@cache
+def _end_of(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
+
+
+def token_numbers(attrs: str) -> list[int]:
+    """The numbers of the different tokens of an element's class, id and role."""
+    return sorted({zlib.crc32(t.encode()) % TOKENS for t in _TOKEN.findall(attrs)})
+
+
+def token_odds(pages: Iterable[tuple[Page, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The log odds, against all nodes', that a node with a token is main text, of (page, labels, weights)."""
+    seen, main = np.zeros(TOKENS + 1), np.zeros(TOKENS + 1)
+    for page, y, w in pages:
+        for i, a in enumerate(page.attrs):
+            if w[i] > 0:
+                for t in (*(token_numbers(a) if a else ()), TOKENS):
+                    seen[t] += 1
+                    main[t] += y[i]
+    rate = np.clip(main[-1] / max(1.0, seen[-1]), 1e-3, 1 - 1e-3)
+    p = (main[:-1] + EVEN * rate) / (seen[:-1] + EVEN)
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p)) - np.log(rate / (1 - rate))
+
+
+def node_features(page: Page, odds: np.ndarray) -> np.ndarray:
+    """Features of all nodes (n x ``WIDTH``); ``odds`` are those of the attribute tokens."""
     n = len(page.tag)
     parent = np.array(page.parent)
     own, punct, wordn = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -134,16 +177,20 @@ def node_features(page: Page) -> np.ndarray:
         punct[node] += text.count(",") + text.count(".") + text.count(";")
         wordn[node] += text.count(" ") + 1
     group = np.array([_GROUP.get(t, -1) for t in page.tag])
-    good = np.array([bool(_GOOD.search(a)) if a else False for a in page.attrs], float)
-    bad = np.array([bool(_BAD.search(a)) if a else False for a in page.attrs], float)
-    depth, in_good, in_bad = np.zeros(n), np.zeros(n), np.zeros(n)
+    learnt = odds.tolist()
+    numbers = [token_numbers(a) if a else () for a in page.attrs]
+    best = np.array([max((learnt[t] for t in x), default=0.0) for x in numbers])
+    worst = np.array([min((learnt[t] for t in x), default=0.0) for x in numbers])
+    depth, over_best, over_worst = np.zeros(n), np.zeros(n), np.zeros(n)
+    in_main, in_side = np.zeros(n), np.zeros(n)
     rank, kids, same = np.zeros(n), np.zeros(n), {}
     in_a = group == 4
     for i in range(1, n):
         p = page.parent[i]
         depth[i] = depth[p] + 1
-        in_good[i] = max(in_good[p], group[p] == 7, good[p])
-        in_bad[i] = max(in_bad[p], group[p] in (8, 9), bad[p])
+        over_best[i], over_worst[i] = max(over_best[p], best[p]), min(over_worst[p], worst[p])
+        in_main[i] = max(in_main[p], group[p] == 7)
+        in_side[i] = max(in_side[p], group[p] in (8, 9))
         in_a[i] = in_a[i] or in_a[p]
         rank[i] = kids[p]
         kids[p] += 1
@@ -161,22 +208,23 @@ def node_features(page: Page) -> np.ndarray:
     peers = np.array([same.get((page.parent[i], page.tag[i]), 1) for i in range(n)], float)
     cols = [
         depth, np.log1p(own), np.log1p(chars), np.log1p(chars / tags), links / of, kids, rank, kids[up], peers / np.maximum(kids[up], 1), points / of * 100, word_sum / of * 10, np.log1p(word_sum),
-        chars / max(chars[0], 1), links[up] / of[up], chars / of[up], np.log1p(tags), good, bad, in_good, in_bad, in_a.astype(float), own / of, *[(group == k).astype(float) for k in range(len(_GROUPS))],
+        chars / max(chars[0], 1), links[up] / of[up], chars / of[up], np.log1p(tags), best, worst, over_best, over_worst, in_main, in_side, in_a.astype(float), own / of, *[(group == k).astype(float) for k in range(len(_GROUPS))],
     ]
     return np.stack(cols, 1).astype(np.float32)
 
 
-WIDTH = 22 + len(_GROUPS)
+WIDTH = 24 + len(_GROUPS)
 
 
 @dataclass
 class Boosted:
-    """Trees of depth ``DEPTH`` as heaps: feature, threshold (go right if above), leaf values."""
+    """Trees of depth ``DEPTH`` as heaps: feature, threshold (go right if above), leaf values; and the odds of attribute tokens."""
 
     feature: np.ndarray
     threshold: np.ndarray
     leaf: np.ndarray
     base: float
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(TOKENS))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.base)
@@ -258,16 +306,16 @@ def decode(page: Page, p: np.ndarray) -> np.ndarray:
 
 
 def text_of(page: Page, kept: np.ndarray) -> str:
-    lines: list[str] = []
+    lines: list[list[str]] = []
     last = None
     for node, text, line in zip(page.piece_node, page.piece, page.line, strict=True):
         if kept[node]:
             if line == last:
-                lines[-1] += " " + text
+                lines[-1].append(text)
             else:
-                lines.append(text)
+                lines.append([text])
             last = line
-    return "\n".join(lines)
+    return "\n".join(map(" ".join, lines))
 
 
 def node_labels(page: Page, known: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,29 +358,31 @@ def made_pages(n: int = MADE_PAGES) -> Iterator[tuple[str, list[str]]]:
         yield f"<html><head><title>{say(6)}</title></head><body>{menu[0]}{links}{menu[1]}{side}{box[0]}{head}{body}{box[1]}{notes}{foot[0]}&copy; {say(5)}{foot[1]}</body></html>", lines
 
 
+def train(pages: Iterable[tuple[str, list[str]]]) -> Boosted:
+    """A model of (html, main lines)."""
+    told = [(page := parse(source), *node_labels(page, known)) for source, known in pages]
+    halves = [token_odds(told[k::2]) for k in (0, 1)]
+    x = np.concatenate([np.zeros((0, WIDTH), np.float32), *(node_features(page, halves[1 - k % 2]) for k, (page, _, _) in enumerate(told))])
+    y, w = (np.concatenate([np.zeros(0), *(t[j] for t in told)]).astype(float) for j in (1, 2))
+    own = w > 0
+    model = boost(x[own], y[own], w[own])
+    model.odds = token_odds(told)
+    return model
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages = list(made_pages())
     rows = sorted((r["page_id"], r["html"], r["text"]) for b in batches for r in b.to_pylist())
-    pages += [(source, [x for x in (" ".join(y.split()) for y in text.split("\n")) if x]) for _, source, text in rows]
-    xs, ys, ws = [], [], []
-    for source, known in pages:
-        page = parse(source)
-        y, w = node_labels(page, known)
-        xs.append(node_features(page))
-        ys.append(y)
-        ws.append(w)
-    x, y, w = np.concatenate(xs), np.concatenate(ys).astype(float), np.concatenate(ws)
-    own = w > 0
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(boost(x[own], y[own], w[own]))], pa.binary())], ["model"])
+    pages = [*made_pages(), *((source, [x for x in (" ".join(y.split()) for y in text.split("\n")) if x]) for _, source, text in rows)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pages))], pa.binary())], ["model"])
 
 
 def fit(pages: DataFrame, documents: DataFrame, rows: int = TRAIN_PAGES) -> Boosted:
     """Trains on a bounded sample of pages with their source documents, in one task."""
     known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://[^/]+/(?:[^?#]*/)?(\d+)(?:[.?#/]|$)", 1).try_cast("long").alias("doc_id"))
-    picked = known.where("page_id is not null and doc_id is not null").orderBy(F.xxhash64("page_id"), "page_id", "doc_id").limit(rows)
-    picked = F.broadcast(picked.distinct())  # at most ``rows`` rows of two numbers
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").where("text is not null")
-    sample = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("html is not null").join(F.broadcast(picked.select("page_id").distinct()), "page_id")
+    picked = known.where("page_id is not null and doc_id is not null").groupBy("page_id").agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    picked = F.broadcast(checkpointed(picked))  # at most ``rows`` rows of two numbers
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").where("text is not null").groupBy("page_id").agg(F.min("text").alias("text"))
+    sample = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("html is not null").join(picked.select("page_id"), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
     sample = written(sample, "extraction-pages").join(written(source, "extraction-sources"), "page_id").select("page_id", "html", "text")
     return fitted(sample, _fit)
 
@@ -344,7 +394,7 @@ def extract(source: str, model: Boosted) -> tuple[str, int, int]:
 
 def _extract(sources: list[str | None], model: Boosted) -> list[tuple[str, int, int]]:
     pages = [parse(s) if s else None for s in sources]
-    xs = [node_features(p) for p in pages if p]
+    xs = [node_features(p, model.odds) for p in pages if p]
     prob = model.probability(np.concatenate(xs)) if xs else np.zeros(0)
     out, at = [], 0
     for page in pages:
