@@ -56,11 +56,12 @@ def test_capacities():
         assert tree.least(x) == min((h for h in have if h >= x), default=-1)
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("part", [7, P.PART])
+def test_documents(spark, part):
     rng = random.Random(4)
     n = {i: rng.choice([1, 2, 3, 7, 20, 49, 50, 51, 100, 1234]) for i in range(500)}
     docs = spark.createDataFrame([(i, "w " * k, "en", "s", k) for i, k in n.items()], DOCS)
-    rows = P.packed(docs, capacity=50).collect()
+    rows = P.packed(docs, capacity=50, part=part).collect()
     assert sum(r.length for r in rows) == sum(n.values())
     by_doc, by_window = {}, {}
     for r in rows:
@@ -94,3 +95,11 @@ def test_odd_rows_and_empty(spark):
 @pytest.mark.parametrize("counts", [{}, {1: 5}, {24: 3}])
 def test_small_plans(counts):
     assert expand(counts, P.plan(counts, 24)) == brute([n for n, c in counts.items() for _ in range(c)], 24)
+
+
+def test_copies_of_one_document_are_ranked_in_parts(spark):
+    docs = spark.createDataFrame([(1, "w " * 130, "en", "s", 1)] * 400 + [(None, "w " * 50, "en", "s", 1)] * 200, DOCS)
+    rows = P.packed(docs, capacity=50, part=10).collect()
+    full = [r.window_id for r in rows if r.length == 50]
+    assert len(rows) == 400 * 3 + 200 and len(set(full)) == len(full) == 1000
+    assert sorted((r.length, r.window_id, r.offset) for r in rows) == sorted(brute([50] * 1000 + [30] * 400, 50))

@@ -7,10 +7,11 @@ runs of pieces into runs of windows: its work and result are bounded by the capa
 each piece its rank within its length, which says where in the plan it stands. The windows are those that packing piece by piece
 would make.
 
-Pieces of one length are taken in the order of (a hash of doc_id, doc_id, part); among windows of one remaining capacity
-the first opened is taken. Tokens are runs of other than white space, or what ``length`` says.
+Ranks need no sort of a whole length: a common length, as that of the full windows, is parted by ``PART`` pieces, whose order within their part and whose part's
+place give the rank. So no task ranks more than some ``PART`` pieces, however many documents, or copies of one, there are. Among pieces of one length the order is that
+of the table's rows; among windows of one remaining capacity the first opened is taken. Tokens are runs of other than white space, or what ``length`` says.
 
-Null and empty texts have no tokens and no row. Repeated rows are packed each. Rows without a doc_id are packed with a null.
+Null and empty texts have no tokens and no row. Repeated rows are packed each. Rows without a doc_id are packed with a null; a doc_id has to be an integer.
 Other columns are not read. An empty table gives an empty result.
 """
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 CAPACITY = 2048
-#: Pieces of one length are ranked in so many parts, for many-executor sorts of common lengths.
-SALT = 16
+#: Pieces of one length that are ranked together, about.
+PART = 50_000
 
 
 class Capacities:
@@ -106,33 +107,27 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n]+")), F.lit(0)).cast("long")
 
 
-def _place(placements: np.ndarray, start: dict[tuple[int, int], int]):
-    lengths = placements[:, 0]
-    order = np.lexsort((placements[:, 1], lengths))
+def _place(placements: np.ndarray, parts: np.ndarray):
+    """``parts``: (length, part of the length, rank of its first piece), sorted."""
+    order = np.lexsort((placements[:, 1], placements[:, 0]))
     p = placements[order]
-    span = int(placements[:, 2].max(initial=0)) + 1
-    key = p[:, 0] * span + p[:, 1] if len(p) and int(p[:, 0].max()) * span < 2**62 else None
     cut = {int(x): (int(np.searchsorted(p[:, 0], x)), int(np.searchsorted(p[:, 0], x, "right"))) for x in np.unique(p[:, 0])}
-
-    def find(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        if key is not None:
-            return np.searchsorted(key, length * span + rank, "right") - 1
-        out = np.empty(len(length), np.int64)
-        for x in np.unique(length):
-            own, (a, b) = length == x, cut[int(x)]
-            out[own] = a + np.searchsorted(p[a:b, 1], rank[own], "right") - 1
-        return out
+    wide = int(parts[:, 1].max(initial=0)) + 1
+    keys, starts = parts[:, 0] * wide + parts[:, 1], parts[:, 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, salt, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
             if not len(length):
                 continue
-            pair, inv = np.unique(length * (SALT + 1) + salt, return_inverse=True)
-            t = rank + np.array([start[divmod(int(x), SALT + 1)] for x in pair], np.int64)[inv]
-            row = p[find(length, t)]
-            at = t - row[:, 1]
-            cols = [pa.array(row[:, 3] + at // row[:, 4]), b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("part")), b.column(b.schema.get_field_index("start")), b.column(b.schema.get_field_index("length")), pa.array(row[:, 5] + at % row[:, 4] * length)]
+            t = rank + starts[np.searchsorted(keys, length * wide + salt)]
+            at = np.empty(len(length), np.int64)
+            for x in np.unique(length).tolist():
+                own, (lo, hi) = length == x, cut[x]
+                at[own] = lo + np.searchsorted(p[lo:hi, 1], t[own], "right") - 1
+            row = p[at]
+            nth = t - row[:, 1]
+            cols = [pa.array(row[:, 3] + nth // row[:, 4]), *(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "part", "start", "length")), pa.array(row[:, 5] + nth % row[:, 4] * length)]
             yield pa.RecordBatch.from_arrays(cols, ["window_id", "doc_id", "part", "start", "length", "offset"])
 
     return run
@@ -146,20 +141,23 @@ def pieces(docs: DataFrame, length: Column | None = None, capacity: int = CAPACI
     return told.select("doc_id", "_n", part).select("doc_id", F.col("part").cast("long").alias("part"), "start", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("start")).alias("length"))
 
 
-def packed(docs: DataFrame, length: Column | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, length: Column | None = None, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """window_id, doc_id, part, start, length, offset of all pieces."""
-    cut = pieces(docs, length, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
-    cut = written(cut, "pieces")
-    # at most capacity x SALT rows, whatever the corpus
-    sizes = cut.groupBy("length", "salt").count().orderBy("length", "salt").collect()
-    counts: dict[int, int] = {}
-    start: dict[tuple[int, int], int] = {}
-    for r in sizes:
-        start[r.length, r.salt] = counts.get(r.length, 0)
-        counts[r.length] = counts.get(r.length, 0) + r["count"]
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "part")) - 1
-    ranked = cut.withColumn("rank", rank.cast("long"))
-    return ranked.mapInArrow(_place(plan(counts, capacity), start), "window_id long, doc_id long, part long, start long, length long, offset long")
+    spark = docs.sparkSession
+    cut = written(pieces(docs, length, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    sizes = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length, of which there are ``capacity``
+    table = spark.createDataFrame([(x, max(1, -(-n // part))) for x, n in sizes.items()], "length long, k long")
+    salt = F.pmod(F.xxhash64("row"), F.col("k"))  # the row's number is in the table, so a task that runs again sees the same
+    cut = cut.join(F.broadcast(table), "length").withColumn("salt", salt)
+    first: list[tuple[int, int, int]] = []
+    for r in sorted(cut.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):  # a row for each length, and for each ``part`` pieces
+        before = first[-1] if first and first[-1][0] == r.length else None
+        first.append((r.length, r.salt, before[2] + n_before if before else 0))
+        n_before = r.n
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")) - 1
+    ranked = cut.withColumn("rank", rank.cast("long")).drop("row", "k")
+    place = _place(plan(sizes, capacity), np.array(first, np.int64).reshape(-1, 3))
+    return ranked.mapInArrow(place, "window_id long, doc_id long, part long, start long, length long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
