@@ -61,6 +61,62 @@ def test_groups_equal_brute_force(spark, limits):
     assert len(together & true) >= 0.95 * len(together)
 
 
+def test_limits_do_not_change_the_groups(spark):
+    """Whether a node is worked on in a task or by Spark, its groups are the same: among them a large one of like documents, and many with one passage."""
+    rng = random.Random(6)
+    base, passage = words(rng, 200).split(), words(rng, 80).split()
+    rows = [" ".join(rng.choice(["kappa", "omega", w]) if rng.random() < 0.02 else w for w in base) for _ in range(120)]
+    rows += [" ".join([*passage, *words(rng, rng.randint(20, 120)).split()]) for _ in range(120)]
+    rows += [" ".join(rng.choice(["kappa", w]) if rng.random() < 0.1 else w for w in rows[k].split()) for k in range(100, 180)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(rows)], DOCS)
+    told = [sorted((r.doc_id, r.group_id) for r in N.near_duplicates(df, node_limit=8, task_limit=k).collect()) for k in (200_000, 40, 9)]
+    assert told[0] == told[1] == told[2]
+    want, pairs = brute(list(enumerate(rows)), N.THRESHOLD)
+    got = dict(told[0])
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_links_span_the_groups(spark):
+    rows = corpus(60, 4)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    edges, _ = N.links(df)
+    edges = [tuple(r) for r in edges.collect()]
+    told = {r.doc_id: r for r in N.near_duplicates(df).collect()}
+    assert all(told[a].group_id == told[b].group_id for a, b in edges) and len(edges) == len(set(edges))
+    n = {i: sum(i in e for e in edges) for i in told}
+    assert all((n[i] > 0) == (r.n_links > 0) for i, r in told.items())
+    sizes = {}
+    for r in told.values():
+        sizes.setdefault(r.group_id, []).append(r.n_links > 0)
+    assert all(all(v) if len(v) > 1 else not v[0] for v in sizes.values())
+
+
+def test_trees_for_a_recall():
+    assert N.trees(0.5, 0.995) == 6 and N.trees(0.5, 0.9) < 6 < N.trees(0.3, 0.995) and N.trees(1.0, 0.9) == 1
+    for bad in (0, 1):
+        with pytest.raises(ValueError):
+            N.trees(0.5, bad)
+
+
+def test_of_one_doc_id_the_least_text_stays(spark):
+    rng = random.Random(7)
+    texts = [words(rng, 50) for _ in range(4)]
+    rows = [(1, texts[0], "en", "a", 1), (1, texts[1], "en", "b", 2), (1, min(texts[:2]), "en", "zz", 2), (2, texts[1], "de", "c", 3), (3, texts[2], "de", "c", 3), (4, texts[3], "de", "c", 4), (4, None, "de", "c", 4)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, DOCS).repartition(3)
+        got = sorted(tuple(r) for r in N.deduplicated(docs).collect())
+        first = min(r for r in rows[:3] if r[1] == min(texts[:2]))
+        assert got == sorted([first, rows[4], rows[6]])  # 2 is a copy of one of the texts of 1
+
+
+def test_one_text_without_end(spark):
+    rng = random.Random(8)
+    many = [(5, words(rng, 30), "en", "s", 1)] * 500 + [(6 + i, "the very same text in all of these documents", "en", "s", 1) for i in range(500)]
+    got = N.near_duplicates(spark.createDataFrame(many, DOCS)).collect()
+    assert len(got) == 501 and {r.group_id for r in got} == {5, 6} and next(r.n_links for r in got if r.doc_id == 6) == 499
+    assert N.deduplicated(spark.createDataFrame(many, DOCS)).count() == 2
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got = {r.doc_id: r.group_id for r in N.near_duplicates(docs).collect()}
