@@ -1,12 +1,14 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline as C
 from vellumflow.llm import mixing as M
 from vellumflow.llm import packing as P
 
-from .data import DOCS, none, odd_docs, words
+from .data import DOCS, none, odd_docs
 from .test_neardup import brute
 from .test_packing import brute as pack
+from .test_toxicity import words
 
 
 def tables(spark, folder, seed=8):
@@ -61,8 +63,40 @@ def test_registered():
 
 
 def test_odd_rows_and_empty(spark, tmp_path):
-    for name, docs in (("odd", odd_docs(spark, extra=False)), ("none", none(spark))):
-        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
-        rows = C.run(spark, f"{tmp_path}/{name}").collect()
-        assert bool(rows) == (name == "odd")
+    """Labels, nulls in every column, repeated rows, long texts and columns with clashing names, from end to end."""
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 1), (7, None, None), (99, 0, 1), (20, 0, 1), (21, 0, 1)], "doc_id long, quality int, toxic int")
+    bad = "you idiot moron scum trash " * 10
+    odd = odd_docs(spark)
+    rows = spark.createDataFrame([(20, bad, "en", "a", 1), (21, bad + "x", "en", "a", 1)], DOCS)
+    odd = odd.unionByName(rows, allowMissingColumns=True)
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=str)
+    want = [1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, None, None]
+    for name, stage in C.STAGES[:3]:
+        now = C.written(stage(spark, now, f"{tmp_path}/odd"), "test")
+        if name == "near_duplicates":
+            want = [1, 2, 4, 5, 6, 7, 8, 9, None, None]  # 3 is empty as 2 is
+        assert ids(now) == want and now.columns == odd.columns
+    assert set(ids(C.run(spark, f"{tmp_path}/odd"))) <= {1, 5, 6, 7, 8, 9, None}
+    none(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert C.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_without_labels_only_insults_go(spark, tmp_path):
+    docs, toxic, _ = tables(spark, str(tmp_path))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in C.toxicity(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert kept == {d[0] for d in docs} - toxic
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    from vellumflow.llm.shared import scratch
+
+    tables(spark, str(tmp_path))
+    with scratch(spark) as own:
+        out = C.run(spark, str(tmp_path))
+    left = [p for p in own if Path(p.removeprefix("file://")).exists()]
+    assert len(own) > 8 and len(left) == 1 and "stage-packing" in left[0] and out.count()

@@ -6,6 +6,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for own in getattr(spark, "_vellum_scratch", []):
+        own.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths that are made in the shared folder meanwhile, in order, for whoever knows when nothing reads them any more."""
+    every = spark._vellum_scratch = getattr(spark, "_vellum_scratch", [])
+    own: list[str] = []
+    every.append(own)
+    try:
+        yield own
+    finally:
+        every[:] = [x for x in every if x is not own]
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> None:
+    """Removes paths below the shared folder, whatever file system has it."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -257,12 +257,16 @@ def density(times: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.log1p(times * 300.0 / (count + 200.0))
 
 
-def hits(doc: np.ndarray, n: int, kinds: list[tuple[np.ndarray, np.ndarray]], lexicons: list[KeySet]) -> np.ndarray:
-    """For each document how many of its words are in a lexicon: 0 to 3, 3 for more."""
+def hits(doc: np.ndarray, count: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]], lexicons: list[KeySet]) -> np.ndarray:
+    """For each document of so many words how it meets the lexicons: 0 not at all, 1 in less than a thousandth of its words, else 2 to 4 for once, twice, more often."""
     hit = np.zeros(len(doc), bool)
     for lexicon, (at, h) in zip(lexicons, kinds, strict=True):
         hit[at[lexicon.find(h)[0]]] = True
-    return np.minimum(np.bincount(doc[hit], minlength=n), 3)
+    n = np.bincount(doc[hit], minlength=len(count))
+    return np.where(n == 0, 0, np.where(n < 0.001 * count, 1, np.minimum(n, 3) + 1))
+
+
+_HITS = 5
 
 
 @dataclass
@@ -277,7 +281,7 @@ class Classifier:
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         doc, count, kinds = features(buf, offs)
-        z = self.bias + self.by_hits[hits(doc, len(count), kinds, self.lexicons)]
+        z = self.bias + self.by_hits[hits(doc, count, kinds, self.lexicons)]
         for (at, h), own, w in zip(kinds, self.sets, self.weights, strict=True):
             pos, k = own.find(h)
             pair, times = np.unique(doc[at[pos]].astype(np.int64) * (len(w) + 1) + k, return_counts=True)
@@ -312,11 +316,11 @@ def fit_classifier(sample: Sample, q: np.ndarray, weight: np.ndarray, lexicons:
     top = top[g[top] > 5]
     column = np.full(len(key), -1)
     column[top] = np.arange(len(top))
-    x = np.zeros((n, len(top) + 4), np.float32)
+    x = np.zeros((n, len(top) + _HITS), np.float32)
     raw, offs = buffers(sample.text)
     for i, j in chunks(offs):
         doc, count, by_kind = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        x[np.arange(i, j), len(top) + hits(doc, len(count), by_kind, lexicons)] = 1
+        x[np.arange(i, j), len(top) + hits(doc, count, by_kind, lexicons)] = 1
     on = column[inv] >= 0
     length = np.bincount(sample.doc[sample.kind == 0], sample.count[sample.kind == 0], n)
     x[sample.doc[on], column[inv[on]]] = density(sample.count[on], length[sample.doc[on]])
