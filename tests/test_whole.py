@@ -6,6 +6,9 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from vellumflow.functions import geometry as G
 from vellumflow.operators import graph
 from vellumflow.plans.catalog import QUERIES
 
@@ -42,10 +45,11 @@ def test_error_rates_and_alignment_of_all_turns(spark, tmp_path):
         own = [(x, y) for c, _, x, y in pairs if c == conv]
         assert (cer[conv].errors, cer[conv].length) == (sum(edits(x, y) for x, y in own), sum(len(x) for x, _ in own))
         assert (wer[conv].errors, wer[conv].length) == (sum(edits(x.split(), y.split()) for x, y in own), sum(len(x.split()) for x, _ in own))
-    paths = {(r.conv_id, r.turn): r.path for r in QUERIES["dp_align"](spark, str(tmp_path)).collect()}
-    assert len(paths) == len(pairs)
-    for c, t, x, y in pairs:
-        assert paths[c, t][-1].cost == edits(x.split(), y.split()) and (paths[c, t][-1].i, paths[c, t][-1].j) == (len(x.split()), len(y.split()))
+    told = {(r.conv_id, r.turn): (r.errors, r.n_ref, r.n_hyp) for r in QUERIES["dp_align"](spark, str(tmp_path)).collect()}
+    assert told == {(c, t): (edits(x.split(), y.split()), len(x.split()), len(y.split())) for c, t, x, y in pairs}
+    both = spark.createDataFrame([(c, t, x.split(), y.split()) for c, t, x, y in pairs], "c long, t int, x array<string>, y array<string>")
+    for r in both.select("x", "y", graph.alignment(F.col("x"), F.col("y")).alias("path")).collect():
+        assert r.path[-1].cost == edits(r.x, r.y) and (r.path[-1].i, r.path[-1].j) == (len(r.x), len(r.y))
 
 
 @settings(max_examples=300, deadline=None)
@@ -97,4 +101,6 @@ def test_polygons_of_all_coordinates(spark, tmp_path):
         assert (stats[i].y0, stats[i].y1) == (min(ys) - 20, max(ys) + 20)
         assert math.isclose(stats[i].avg_y, (2 * sum(ys) - ys[0] - ys[-1]) / 126, abs_tol=1e-6)
         assert sizes[i].n == 1 + sum(max(20, abs(b - a)) for a, b in zip(ys[:-1], ys[1:], strict=True))
-        assert max(q.x for q in hull[i].hull) == 20 * 63 and max(q.x for q in reduced[i].points) == 20 * 63
+        corners = G.hull(p)
+        assert (hull[i].n, hull[i].area2) == (len(corners), abs(sum(a * d - b * c for (a, b), (c, d) in zip(corners, corners[1:] + corners[:1], strict=True))))
+        assert max(x for x, _ in corners) == 20 * 63 and 2 <= reduced[i].n < sizes[i].n

@@ -152,21 +152,25 @@ def _series(fn):
 
 
 def reduce_collinear(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Only points where the direction changes, by exact cross products."""
-    out: list[tuple[int, int]] = []
-    for p in points:
-        while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) == (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) and ((p[0] - out[-1][0]) * (out[-1][0] - out[-2][0]) + (p[1] - out[-1][1]) * (out[-1][1] - out[-2][1]) >= 0):
-            out.pop()
-        out.append(p)
-    return out
+    """Each run of points on one line through its first becomes its first and its last point; a turn back on the line is no new direction."""
+    if len(points) < 3:
+        return list(points)
+    (ax, ay), last = points[0], points[1]
+    out, dx, dy = [points[0]], last[0] - ax, last[1] - ay
+    for x, y in points[2:]:
+        if (x - ax) * dy != dx * (y - ay):
+            out.append(last)
+            (ax, ay), dx, dy = last, x - last[0], y - last[1]
+        last = (x, y)
+    return [*out, last]
 
 
 def monotone(points: list[tuple[int, int]], angle: float = 0.0) -> list[tuple[int, int]]:
-    """Without points that go back along the direction."""
+    """Without points that the last kept one reaches only by a turn of a right angle or more from the direction; repeated points go too."""
     c, s = math.cos(angle), math.sin(angle)
-    out: list[tuple[int, int]] = []
-    for x, y in points:
-        if not out or (x - out[-1][0]) * c - (y - out[-1][1]) * s >= 0:
+    out = list(points[:1])
+    for x, y in points[1:]:
+        if (x - out[-1][0]) * c - (y - out[-1][1]) * s > 1e-9:
             out.append((x, y))
     return out
 
@@ -195,25 +199,25 @@ def inside(polygon: list[tuple[int, int]], x: float, y: float) -> bool:
     return out
 
 
-def seam(energy: list[list[float]], low: list[int], high: list[int], outside: float = 50_000.0) -> tuple[float, list[int]]:
-    """The cheapest path from left to right, a row up or down at each column; beyond the bounds a penalty. Ties: straight on, then up."""
+def seam(energy: list[list[float]], low: list[int], high: list[int], toward: list[int] | None = None, pull: float = 0.0, outside: float = 50_000.0) -> tuple[float, list[int]]:
+    """The cheapest path from left to right, a row up or down at each column. Rows not strictly between ``low`` and ``high`` cost a penalty alone, the others
+    their energy and ``pull`` for each row that they are away from ``toward``. Ties: straight on, then up; at the end the upper row."""
     rows, cols = len(energy), len(energy[0]) if energy else 0
-    cost = [[0.0] * rows for _ in range(cols)]
-    back = [[0] * rows for _ in range(cols)]
-    for x in range(cols):
-        for y in range(rows):
-            own = energy[y][x] + (0 if low[x] <= y <= high[x] else outside)
-            if x:
-                options = [(cost[x - 1][z], k, z) for k, z in enumerate((y, y - 1, y + 1)) if 0 <= z < rows]
-                best = min(options)
-                own, back[x][y] = own + best[0], best[2]
-            cost[x][y] = own
     if not cols:
         return 0.0, []
-    y = min(range(rows), key=lambda r: (cost[-1][r], r))
-    path, total = [y], cost[-1][y]
-    for x in range(cols - 1, 0, -1):
-        y = back[x][y]
+
+    def own(x: int, y: int) -> float:
+        return energy[y][x] + (pull * abs(toward[x] - y) if toward else 0.0) if low[x] < y < high[x] else outside
+
+    cost, back = [own(0, y) for y in range(rows)], []
+    for x in range(1, cols):
+        steps = [min((cost[z], k, z) for k, z in enumerate((y, y - 1, y + 1)) if 0 <= z < rows) for y in range(rows)]
+        cost = [own(x, y) + c for y, (c, _, _) in enumerate(steps)]
+        back.append([z for *_, z in steps])
+    y = min(range(rows), key=lambda r: (cost[r], r))
+    total, path = cost[y], [y]
+    for step in reversed(back):
+        y = step[y]
         path.append(y)
     return total, path[::-1]
 
@@ -236,6 +240,25 @@ def collinear_rows(df: DataFrame, name: str) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
+def monotone_points(points: Column, angle: float = 0.0) -> Column:
+    @F.pandas_udf(POINTS)
+    def run(s: pd.Series) -> pd.Series:
+        return _series(lambda ps: monotone(ps, angle))(s)
+
+    return run(points)
+
+
+def seams(rows: DataFrame, pull: float = 0.0) -> DataFrame:
+    """key, cost, path of each row's ``seam`` (key, energy: array of rows, low, high, toward: arrays or null)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [seam([list(r) for r in e], list(lo), list(hi), None if t is None else list(t), pull) for e, lo, hi, t in zip(part.energy, part.low, part.high, part.toward, strict=True)]
+            yield pd.DataFrame({"key": part.key, "cost": [c for c, _ in found], "path": [p for _, p in found]})
+
+    return rows.select("key", "energy", "low", "high", "toward").mapInPandas(run, "key long, cost double, path array<int>")
+
+
 def convex_hull(points: Column) -> Column:
     @F.pandas_udf(POINTS)
     def run(s: pd.Series) -> pd.Series:

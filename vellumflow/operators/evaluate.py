@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from vellumflow.functions import text as T
 
@@ -26,27 +24,17 @@ def error_rate(pairs: DataFrame, keys: tuple[str, ...] = (), reference: str = "r
     return out.withColumn("cer", F.when(F.col("length") > 0, F.col("errors") / F.col("length")))
 
 
-@F.pandas_udf(IntegerType())
-def word_errors(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """The edit distance of two arrays of words."""
-
-    def distance(a, b) -> int | None:
-        if a is None or b is None:
-            return None
-        a, b = list(a), list(b)
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    return pd.Series([distance(a, b) for a, b in zip(reference, hypothesis, strict=True)], dtype="Int32")
+def word_errors(reference: Column, hypothesis: Column) -> Column:
+    """The edit distance of two arrays of words: each different word of both becomes a character of its own."""
+    known = F.array_distinct(F.concat(reference, hypothesis))
+    # beyond the 16-bit characters, so that there is room for a million words and none is a surrogate
+    as_text = lambda words: F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")), "")
+    return F.levenshtein(as_text(reference), as_text(hypothesis))
 
 
 def word_error_rate(pairs: DataFrame, keys: tuple[str, ...] = (), reference: str = "ref", hypothesis: str = "hyp") -> DataFrame:
     own = pairs.withColumn("_r", T.wer_tokens(F.col(reference))).withColumn("_h", T.wer_tokens(F.col(hypothesis)))
-    out = own.withColumn("_e", word_errors("_r", "_h")).groupBy(*keys).agg(F.sum("_e").alias("errors"), F.sum(F.size("_r")).alias("length"))
+    out = own.withColumn("_e", word_errors(F.col("_r"), F.col("_h"))).groupBy(*keys).agg(F.sum("_e").alias("errors"), F.sum(F.size("_r")).alias("length"))
     return out.withColumn("wer", F.when(F.col("length") > 0, F.col("errors") / F.col("length")))
 
 

@@ -171,7 +171,7 @@ def align_lines(read: list[str], words: list[str], skip_word: float = 1.0, skip_
     """Monotone alignment of text without line breaks to read lines: (line, first word, end word) of each matched line.
 
     A line takes a run of words at the cost of their edit distance over the line's length, words and lines can be skipped. Our own definition of a
-    step that the reference leaves to another library.
+    step that the reference leaves to another library. More than ``most`` expanded cells are an error.
     """
     from functools import cache
 
@@ -198,7 +198,9 @@ def align_lines(read: list[str], words: list[str], skip_word: float = 1.0, skip_
                 out.append(("LINE", i + 1, k + 1, distance(read[i], text) / max(1, len(read[i]))))
         return out
 
-    path = best_path(len(read), len(words), moves, most=most) or []
+    path = best_path(len(read), len(words), moves, most=most)
+    if path is None:
+        raise ValueError(f"no alignment within {most} steps")
     out, j = [], 0
     for op, x, y, _ in path:
         if op == "LINE":

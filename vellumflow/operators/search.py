@@ -36,6 +36,23 @@ def keyword_hits(lines: DataFrame, queries: list[str], mode: str = "word", prefi
     return lines.select(F.explode(found).alias("query"), "doc_id", "line_no")
 
 
+def table_hits(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, doc_id, line_no of the lines that each whole-word query of a table (column ``query``) hits; a repeated query counts once, null finds nothing.
+
+    Lines are cut at separators, and a query is joined to the tokens that equal its longest part; so the lines are read once however many queries there are, and a common word of the lines
+    costs rows only where it is asked for. Queries of several parts are then verified in the line. A query of separators alone finds nothing.
+    """
+    cut = lambda c: F.split(c, f"[{T.BORDER}]")
+    longest = F.array_max(F.transform(F.filter(cut(F.col("query")), lambda t: t != ""), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t
+    asked = queries.where("query is not null").select("query").distinct().withColumn("_token", longest).where("_token is not null")
+    told = lines.withColumn("_token", F.explode(F.filter(F.array_distinct(cut(F.col("line"))), lambda t: t != "")))
+    whole = told.join(asked.where("query = _token"), "_token").select("query", "doc_id", "line_no")
+    quoted = F.regexp_replace("query", r"([\\.^$|?*+()\[\]{}])", r"\\\\$1")
+    pattern = F.concat(F.lit(f"(?:^|[{T.BORDER}])"), quoted, F.lit(f"(?:$|[{T.BORDER}])"))
+    parts = told.join(asked.where("query <> _token"), "_token").where(F.contains("line", F.col("query"))).where(F.rlike(F.col("line"), pattern))
+    return whole.unionAll(parts.select("query", "doc_id", "line_no"))
+
+
 def reject_counts(lines: DataFrame, queries: list[str]) -> DataFrame:
     """query and how many lines each step of the cascade ended: too short, without the text, without borders, found."""
     parts = []
@@ -54,16 +71,16 @@ def fuzzy_confidence(term: Column, query: str) -> Column:
 
 
 def fuzzy_hits(words: DataFrame, queries: list[str], least: float = MIN_CONFIDENCE) -> DataFrame:
-    """query, term, cnt, conf of the dictionary's terms of at least ``least`` confidence. A length filter, exact by itself, comes first."""
+    """query, term, cnt, conf of the dictionary's terms of at least ``least`` confidence, in one pass over the dictionary. A length filter, exact by itself, comes first."""
     import math
 
-    out = None
+    tests = []
     for q in dict.fromkeys(queries):
         reach = int(math.floor(-math.log(least) * len(q) + 1e-9))
-        near = words.where(F.abs(F.length("term") - len(q)) <= reach)
-        hit = near.select(F.lit(q).alias("query"), "term", "cnt", fuzzy_confidence(F.col("term"), q).alias("conf")).where(F.col("conf") >= least)
-        out = hit if out is None else out.union(hit)
-    return out
+        near = F.abs(F.length("term") - len(q)) <= reach
+        tests.append(F.when(near, F.struct(F.lit(q).alias("query"), fuzzy_confidence(F.col("term"), q).alias("conf"))))
+    found = F.filter(F.array(*tests), lambda x: x.isNotNull() & (x.conf >= least))
+    return words.select("term", "cnt", F.inline(found)).select("query", "term", "cnt", "conf")
 
 
 def best_hits(hits: DataFrame, n: int, order: list[Column]) -> DataFrame:

@@ -111,10 +111,11 @@ def unknown_mass(words: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def char_ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """gram, cnt of n characters of each line, ``@`` before and after it."""
-    line = docs.select(F.explode(T.lines(F.col("text"))).alias("x")).where("x <> ''").select(F.concat(F.lit("@"), "x", F.lit("@")).alias("x"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("x") - n + 1), lambda i: F.substr("x", i, F.lit(n)))
-    return line.where(F.length("x") >= n).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt"))
+    """gram, cnt of n characters of each line, ``@`` before and after it. A line is split into characters once, its grams are slices of them."""
+    line = docs.select(F.explode(T.lines(F.col("text"))).alias("x")).where("x <> ''").select(F.split(F.concat(F.lit("@"), "x", F.lit("@")), "").alias("c"))
+    line = line.select(F.filter("c", lambda ch: ch != "").alias("c")).where(F.size("c") >= n)
+    grams = F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.concat(*[F.element_at("c", i + k) for k in range(n)]))
+    return line.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt"))
 
 
 def quantile_index(histogram: DataFrame, keys: tuple[str, ...], q: float) -> DataFrame:

@@ -35,12 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 KEYWORDS = ["the", "that", "password", "Licensed", "License, Version", "der", "la", "tion"]
-PATTERNS = [r"token = \"[0-9a-f]+", r"[A-Z]{4}[0-9]", r"\bde[rs]\b", r"Apache (?:License|license)", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"]
+PATTERNS = [r"token = \"[0-9a-f]+", r"[A-Z]{4}[0-9]", r"(?:^|[^\p{L}\p{M}\p{N}_])de[rs](?:$|[^\p{L}\p{M}\p{N}_])", r"Apache (?:License|license)", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"]
 _WORDS = "SELECT {0}unnest(regexp_extract_all({1}, '\\p{{L}}[\\p{{L}}\\p{{M}}]*')) AS term FROM {2}"
 _DICT = "SELECT term, count(*) AS cnt FROM (" + _WORDS.format("", "text", "documents") + ") GROUP BY 1"
 _LINES = "(SELECT doc_id, (generate_subscripts(x, 1) - 1)::INT AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
 
 
+def _ascii(table_: str, column: str = "text") -> str:
+    """A table ``ascii(f, t)`` that names, for ``translate``, each character beyond ASCII and a control character instead: DuckDB counts edits in bytes."""
+    odd = f"SELECT ch, row_number() OVER (ORDER BY ch) AS k FROM (SELECT DISTINCT unnest(string_split({column}, '')) AS ch FROM {table_}) WHERE unicode(ch) > 127"
+    return f"ascii AS MATERIALIZED (SELECT coalesce(string_agg(ch, '' ORDER BY k), '') AS f, coalesce(string_agg(chr((CASE WHEN k < 9 THEN k ELSE k + 5 END)::INT), '' ORDER BY k), '') AS t FROM ({odd}))"
+
+
 def _list(values: list[str]) -> str:
     return "(VALUES " + ", ".join("('" + v.replace("'", "''") + "')" for v in values) + ") q(query)"
 
@@ -159,10 +165,10 @@ def dict_errors(spark, sf):
 _WORD_HIT = "regexp_matches(line, '(?:^|[\\p{Z}\\p{P}\\p{S}])' || regexp_escape(query) || '(?:$|[\\p{Z}\\p{P}\\p{S}])')"
 
 
-def _hits(where: str, values: list[str] = KEYWORDS, meant: dict[str, str] | None = None) -> str:
-    """One branch a query, as DuckDB compiles only a constant regex once; ``meant`` has what stands in ``where`` for a query."""
-    quoted = [[x.replace("'", "''") for x in (v, (meant or {}).get(v, v))] for v in values]
-    return " UNION ALL ".join(f"SELECT '{v}' AS query, doc_id, line_no FROM {_LINES} WHERE " + where.replace("query", f"'{x}'") for v, x in quoted)
+def _hits(where: str, values: list[str] = KEYWORDS) -> str:
+    """One branch a query, as DuckDB compiles only a constant regex once."""
+    quoted = [v.replace("'", "''") for v in values]
+    return " UNION ALL ".join(f"SELECT '{v}' AS query, doc_id, line_no FROM {_LINES} WHERE " + where.replace("query", f"'{v}'") for v in quoted)
 
 
 def _search(spark, sf, queries=KEYWORDS, **how):
@@ -194,11 +200,7 @@ def kw_upper(spark, sf):
     return _search(spark, sf, fold=True)
 
 
-#: Java's word boundary knows all letters, RE2's only those of ASCII.
-_BOUND = {r"\bde[rs]\b": r"(?:^|[^\p{L}\p{M}\p{N}_])de[rs](?:$|[^\p{L}\p{M}\p{N}_])"}
-
-
-@query(_hits("regexp_matches(line, query)", PATTERNS, _BOUND))
+@query(_hits("regexp_matches(line, query)", PATTERNS))
 def kw_expert(spark, sf):
     return _search(spark, sf, PATTERNS, mode="expert")
 
@@ -213,6 +215,17 @@ def kw_pages(spark, sf):
     return search.pages_of_results(_search(spark, sf), [F.col("doc_id"), F.col("line_no")])
 
 
+@query(
+    f"WITH q AS (SELECT term AS query FROM ({_DICT}) WHERE length(term) >= 3 AND cnt >= 2 UNION ALL SELECT 'License, Version'), t AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_split_to_array(line, '[\\p{{Z}}\\p{{P}}\\p{{S}}]')) AS query FROM {_LINES}) "
+    "SELECT query, doc_id, line_no FROM t JOIN q USING (query) UNION ALL " + _hits(_WORD_HIT, ["License, Version"])
+)
+def kw_table(spark, sf):
+    """A table of queries, thousands of them, as an equi-join on the lines' tokens."""
+    docs = table(spark, sf, "documents")
+    asked = stats.dictionary(docs).where("length(term) >= 3 and cnt >= 2").select(F.col("term").alias("query"))
+    return search.table_hits(search.line_table(docs), asked.union(spark.createDataFrame([("License, Version",)], "query string")))
+
+
 _SHORT, _ABSENT = "length(line) < length(query)", "NOT contains(line, query)"
 
 
@@ -227,9 +240,11 @@ def kw_reject_stats(spark, sf):
 _ASCII = ["password", "license", "version", "the", "idiot"]
 
 
-@query(f"SELECT query, term, cnt, round(exp(-levenshtein(term, query) / length(query)::DOUBLE), 6) AS conf FROM (SELECT * FROM ({_DICT}) WHERE regexp_full_match(term, '[a-z]+')), {_list(_ASCII)} WHERE exp(-levenshtein(term, query) / length(query)::DOUBLE) >= 0.5")
+@query(
+    f"WITH {_ascii('documents')}, q AS (SELECT query, term, cnt, exp(-levenshtein(translate(term, f, t), query) / length(query)::DOUBLE) AS conf FROM ({_DICT}), ascii, {_list(_ASCII)} "
+    "WHERE abs(length(term) - length(query)) <= length(query)) SELECT query, term, cnt, round(conf, 6) AS conf FROM q WHERE conf >= 0.5"
+)
 def kw_fuzzy(spark, sf):
-    """The whole dictionary; the SQL has only its terms of small ASCII letters, as DuckDB counts edits in bytes."""
     words = stats.dictionary(table(spark, sf, "documents"))
     return search.fuzzy_hits(words, _ASCII, 0.5).withColumn("conf", F.round("conf", 6))
 
@@ -459,24 +474,37 @@ def quantised(spark, sf):
 
 # --- evaluation ---------------------------------------------------------------------------------------------------
 
-_PAIRS = "(SELECT a.conv_id, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE regexp_full_match(a.text || b.text, '[\\x00-\\x7F]*') AND length(a.text) <= 400 AND length(b.text) <= 400)"
+_PAIRS = "(SELECT a.conv_id, a.turn, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)"
 
 
 def _pairs(spark, sf):
-    """All neighbouring turns at full length. ``_PAIRS`` has only those in ASCII of up to 400 characters, as DuckDB counts edits in bytes."""
+    """All neighbouring turns at full length."""
     c = table(spark, sf, "conversations").where("text is not null")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     return c.select("conv_id", "turn", F.col("text").alias("ref")).join(b, ["conv_id", "turn"])
 
 
-@query(f"SELECT conv_id, sum(levenshtein(ref, hyp))::BIGINT AS errors, sum(length(ref))::BIGINT AS length, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer FROM {_PAIRS} GROUP BY 1")
+@query(
+    f"WITH {_ascii('conversations')}, e AS (SELECT conv_id, levenshtein(translate(ref, f, t), translate(hyp, f, t)) AS e, length(ref) AS n FROM {_PAIRS}, ascii) "
+    "SELECT conv_id, sum(e)::BIGINT AS errors, sum(n)::BIGINT AS length, round(sum(e) / nullif(sum(n), 0), 6) AS cer FROM e GROUP BY 1"
+)
 def cer_pairs(spark, sf):
     return E.error_rate(_pairs(spark, sf), ("conv_id",)).withColumn("cer", F.round("cer", 6))
 
 
-@query()
+#: Edit distances of all pairs by words: row i of the table of costs from row i - 1, for all pairs at once.
+_WORD_EDITS = (
+    "WITH RECURSIVE w AS MATERIALIZED (SELECT conv_id, turn, list_filter(regexp_split_to_array(ref, ' +'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(hyp, ' +'), lambda x: x <> '') AS b FROM " + _PAIRS + "), "
+    "r AS (SELECT conv_id, turn, 0::BIGINT AS i, range(len(b) + 1)::BIGINT[] AS row FROM w UNION ALL "
+    "SELECT r.conv_id, r.turn, r.i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [least(r.row[j + 1] + 1, r.row[j] + (a[r.i + 1] <> b[j])::BIGINT)]), lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + 1)), [r.i + 1]) "
+    "FROM r JOIN w USING (conv_id, turn) WHERE r.i < len(a)), "
+    "d AS MATERIALIZED (SELECT conv_id, turn, len(a)::BIGINT AS n_ref, len(b)::BIGINT AS n_hyp, r.row[len(b) + 1] AS errors FROM r JOIN w USING (conv_id, turn) WHERE r.i = len(a)) "
+)
+
+
+@query(_WORD_EDITS + "SELECT conv_id, sum(errors)::BIGINT AS errors, sum(n_ref)::BIGINT AS length, round(sum(errors) / nullif(sum(n_ref), 0), 6) AS wer FROM d GROUP BY 1")
 def wer_pairs(spark, sf):
-    return E.word_error_rate(_pairs(spark, sf), ("conv_id",))
+    return E.word_error_rate(_pairs(spark, sf), ("conv_id",)).withColumn("wer", F.round("wer", 6))
 
 
 _RANKED = "SELECT lang, doc_id, row_number() OVER w AS rank, sum(rel) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS tp, sum(rel) OVER (PARTITION BY lang) AS every, rel FROM (SELECT lang, doc_id, n_chars, (quality = 1)::INT AS rel FROM documents JOIN labels USING (doc_id)) WINDOW w AS (PARTITION BY lang ORDER BY n_chars DESC, doc_id)"
@@ -521,11 +549,11 @@ def tree_options(spark, sf):
     return table(spark, sf, "events").select("event_id", tree.alias("m")).select("event_id", F.lit("user").alias("key_user"), F.col("m")["user"].alias("v_user"), F.col("m")["k"].alias("v_k"), F.size("m").alias("n"))
 
 
-_POINTS = "(SELECT vec_id, list_transform(range(16), lambda i: struct_pack(x := (i * 20)::INT, y := floor(embedding[i + 1]::DOUBLE * 200)::INT)) AS p FROM embeddings)"
+_POINTS = "(SELECT vec_id, list_transform(range(len(embedding)), lambda i: struct_pack(x := (i * 20)::INT, y := floor(embedding[i + 1]::DOUBLE * 200)::INT)) AS p FROM embeddings)"
 
 
 def _points(spark, sf):
-    """A point for each coordinate of the embedding; the SQL has only the first 16."""
+    """A point for each coordinate of the embedding."""
     at = lambda e, i: F.struct((i * 20).alias("x"), F.floor(e.cast("double") * 200).cast("int").alias("y"))
     return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", at).alias("p"))
 
@@ -535,23 +563,33 @@ def polygon_text(spark, sf):
     return _points(spark, sf).select("vec_id", G.print_points(G.parse_points(G.print_points(F.col("p")))).alias("points"))
 
 
-@query(f"SELECT vec_id, round((list_sum(list_transform(p, lambda q: q.y)) * 2 - p[1].y - p[16].y) / 30.0, 6) AS avg_y, list_min(list_transform(p, lambda q: q.y)) - 20 AS y0, list_max(list_transform(p, lambda q: q.y)) + 20 AS y1 FROM {_POINTS}")
+@query(f"SELECT vec_id, round((list_sum(list_transform(p, lambda q: q.y)) * 2 - p[1].y - p[len(p)].y) / (2.0 * len(p) - 2), 6) AS avg_y, list_min(list_transform(p, lambda q: q.y)) - 20 AS y0, list_max(list_transform(p, lambda q: q.y)) + 20 AS y1 FROM {_POINTS}")
 def baseline_stats(spark, sf):
     b = G.bounds(F.col("p"), 5, 20)
     return _points(spark, sf).select("vec_id", F.round(G.average_y(F.col("p")), 6).alias("avg_y"), b.y0.alias("y0"), b.y1.alias("y1"))
 
 
-@query(f"SELECT vec_id, 1 + list_sum(list_transform(range(1, 16), lambda i: greatest(20, abs(p[i + 1].y - p[i].y))))::INT AS n FROM {_POINTS}")
+#: Every rasterised point, in order: k unit steps of the longer axis from a corner to the next, and the last corner.
+_RASTER = (
+    "(SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY i, k) AS pos, x, y FROM (SELECT vec_id, i, k, floor(a.x + (b.x - a.x) * k::DOUBLE / s + 0.5)::INT AS x, floor(a.y + (b.y - a.y) * k::DOUBLE / s + 0.5)::INT AS y FROM "
+    "(SELECT *, unnest(range(s)) AS k FROM (SELECT *, greatest(abs(b.x - a.x), abs(b.y - a.y)) AS s FROM (SELECT vec_id, i, p[i] AS a, p[i + 1] AS b FROM (SELECT vec_id, p, unnest(range(1, len(p))) AS i FROM " + _POINTS + ")))) "
+    "UNION ALL SELECT vec_id, len(p), 0, p[len(p)].x, p[len(p)].y FROM " + _POINTS + "))"
+)
+
+
+@query(f"SELECT vec_id, count(*)::INT AS n, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(pos * y)::BIGINT AS in_order FROM {_RASTER} GROUP BY 1")
 def raster_sizes(spark, sf):
-    return _points(spark, sf).select("vec_id", F.size(G.raster(F.col("p"))).alias("n"))
+    """Of the rasterised points their number and sums; the last weighs each with its place."""
+    r = _points(spark, sf).select("vec_id", F.posexplode(G.raster(F.col("p"))).alias("pos", "q"))
+    return r.groupBy("vec_id").agg(F.count("*").cast("int").alias("n"), F.sum("q.x").alias("sum_x"), F.sum("q.y").alias("sum_y"), F.sum((F.col("pos") + 1).cast("long") * F.col("q.y")).alias("in_order"))
 
 
 @query(
-    "WITH RECURSIVE l AS (SELECT DISTINCT md5(line) AS h, doc_id FROM " + _LINES + " WHERE length(line) > 40), m AS (SELECT h, min(doc_id) AS low FROM l GROUP BY 1 HAVING count(*) > 1), e AS (SELECT DISTINCT l.doc_id AS a, m.low AS b FROM l JOIN m USING (h) WHERE l.doc_id <> m.low), "
+    "WITH RECURSIVE l AS (SELECT DISTINCT md5(line) AS h, doc_id FROM " + _LINES + " WHERE line <> ''), m AS (SELECT h, min(doc_id) AS low FROM l GROUP BY 1 HAVING count(*) > 1), e AS (SELECT DISTINCT l.doc_id AS a, m.low AS b FROM l JOIN m USING (h) WHERE l.doc_id <> m.low), "
     "s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, b FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, least(node, min(other)) AS component FROM r GROUP BY 1"
 )
 def components(spark, sf):
-    """Over all shared lines that are not empty; the SQL has only those of over 40 characters."""
+    """Over all shared lines that are not empty."""
     lines = search.line_table(table(spark, sf, "documents")).where(F.length("line") > 0).select(F.xxhash64("line").alias("h"), F.md5(F.col("line").cast("binary")).alias("m"), "doc_id").distinct()
     low = lines.groupBy("h", "m").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     edges = lines.join(low, ["h", "m"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
@@ -570,27 +608,58 @@ def greedy_match(spark, sf):
     return graph.greedy_match(near.select("conv_id", "i", "j", cost.alias("cost")), ["conv_id"], 0.9)
 
 
-@query()
+@query(_WORD_EDITS + "SELECT conv_id, turn, errors, n_ref, n_hyp FROM d")
 def dp_align(spark, sf):
+    """Of each pair's cheapest path its cost, and the words of either side that its steps pass."""
     told = _pairs(spark, sf).select("conv_id", "turn", T.wer_tokens(F.col("ref")).alias("a"), T.wer_tokens(F.col("hyp")).alias("b"))
-    path = graph.alignment(F.col("a"), F.col("b"))
-    return told.select("conv_id", "turn", path.alias("path"))
+    steps = lambda *ops: F.size(F.filter("path", lambda s: s.op.isin(*ops))).cast("long")
+    path = told.select("conv_id", "turn", graph.alignment(F.col("a"), F.col("b")).alias("path"))
+    cost = F.coalesce(F.try_element_at("path", F.lit(-1)).cost, F.lit(0.0)).cast("long")
+    return path.select("conv_id", "turn", cost.alias("errors"), steps("COR", "SUB", "DEL").alias("n_ref"), steps("COR", "SUB", "INS").alias("n_hyp"))
 
 
-@query()
+_CORNERS = (
+    "(SELECT vec_id, {0} AS side, c.x AS x, c.y AS y FROM (SELECT vec_id, p, p[k] AS c, k FROM (SELECT vec_id, p, unnest(range(1, len(p) + 1)) AS k FROM " + _POINTS + ")) WHERE len(list_filter(range(1, k), lambda i: "
+    "len(list_filter(range(k + 1, len(p) + 1), lambda j: {1} * ((p[j].x - p[i].x)::BIGINT * (c.y - p[i].y) - (p[j].y - p[i].y)::BIGINT * (c.x - p[i].x)) <= 0)) > 0)) = 0)"
+)
+
+
+@query(
+    "WITH h AS (" + _CORNERS.format("1", "1") + " UNION ALL " + _CORNERS.format("-1", "-1") + "), s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM h WINDOW w AS (PARTITION BY vec_id, side ORDER BY x)) "
+    "SELECT vec_id, (count(*) - 2)::INT AS n, sum(side * (coalesce(x2, x) - x)::BIGINT * (y + coalesce(y2, y)))::BIGINT AS area2 FROM s GROUP BY 1"
+)
 def convex_hull(spark, sf):
-    return _points(spark, sf).select("vec_id", G.convex_hull(F.col("p")).alias("hull"))
+    """Corners of the hull and twice its area."""
+    h = _points(spark, sf).select("vec_id", G.convex_hull(F.col("p")).alias("h"))
+    after = lambda i: F.element_at("h", (F.pmod(i + 1, F.size("h")) + 1).cast("int"))
+    turns = F.transform("h", lambda q, i: q.x.cast("long") * after(i).y - q.y.cast("long") * after(i).x)
+    return h.select("vec_id", F.size("h").alias("n"), F.abs(F.aggregate(turns, F.lit(0).cast("long"), lambda a, v: a + v)).alias("area2"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE r AS MATERIALIZED (SELECT vec_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys FROM {_RASTER} GROUP BY 1), "
+    "w(vec_id, i, sx, sy, dx, dy, n) AS (SELECT vec_id, 3::BIGINT, xs[1], ys[1], xs[1] - xs[2], ys[1] - ys[2], 1 FROM r UNION ALL SELECT vec_id, i + 1, CASE WHEN same THEN sx ELSE xs[i - 1] END, CASE WHEN same THEN sy ELSE ys[i - 1] END, "
+    "CASE WHEN same THEN dx ELSE xs[i - 1] - xs[i] END, CASE WHEN same THEN dy ELSE ys[i - 1] - ys[i] END, n + (NOT same)::INT FROM (SELECT w.*, xs, ys, (sx - xs[i])::BIGINT * dy = dx::BIGINT * (sy - ys[i]) AS same FROM w JOIN r USING (vec_id) WHERE i <= len(xs))) "
+    "SELECT vec_id, max(n)::INT + 1 AS n FROM w GROUP BY 1"
+)
 def collinear_reduced(spark, sf):
-    return G.collinear_rows(_points(spark, sf).select("vec_id", G.raster(F.col("p")).alias("points")), "points")
+    """How many rasterised points are left where runs of one direction are joined."""
+    out = G.collinear_rows(_points(spark, sf).select("vec_id", G.raster(F.col("p")).alias("points")), "points")
+    return out.select("vec_id", F.size("points").alias("n"))
 
 
-@query()
+_BACK = "SELECT vec_id, round(sqrt(avg(pow(b - x, 2))), 9) AS {0} FROM (SELECT vec_id, x, (q + {1} + 0.5) * ({2} / ({1} * 2.0 - 1)) + {3} AS b FROM (SELECT vec_id, x, greatest(-{1}, least({1} - 1, floor(({1} * 2.0 - 1) / {2} * (x - {3}) - {1}))) AS q FROM (SELECT vec_id, {4} AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings)))) GROUP BY 1"
+
+
+@query("SELECT * FROM (" + _BACK.format("rmse_byte", "128", "1.0", "0.0", "(e + 1) / 2") + ") JOIN (" + _BACK.format("rmse_short", "32768", "4.0", "-4.0", "-abs(e)") + ") USING (vec_id)")
 def codec_rt(spark, sf):
-    """Each vector as a matrix of eight rows through the short codec and back."""
+    """What a matrix of each vector loses on its way through the byte form and the short form of feature files."""
     from vellumflow.sources import codecs
 
-    told = table(spark, sf, "embeddings").select("vec_id", N.deep(F.transform("embedding", lambda x: F.abs(x).cast("double") + 0.01), 8).alias("matrix"))
-    return codecs.decoded_matrices(codecs.encoded_matrices(told, codecs.SHORT_LOG).drop("matrix")).drop("raw")
+    def back(name: str, of, kind: str, **how):
+        told = table(spark, sf, "embeddings").select("vec_id", N.deep(F.transform("embedding", lambda x: of(x.cast("double"))), 8).alias("matrix"))
+        raw = codecs.encoded_matrices(told, kind, **how).select("vec_id", F.flatten("matrix").alias("x"), "raw")
+        pairs = codecs.decoded_matrices(raw).select("vec_id", F.inline(F.arrays_zip("x", F.flatten("matrix").alias("b"))))
+        return pairs.groupBy("vec_id").agg(F.round(N.rmse(F.col("b"), F.col("x")), 9).alias(name))
+
+    return back("rmse_byte", lambda x: (x + 1) / 2, codecs.BYTE).join(back("rmse_short", lambda x: -F.abs(x), codecs.SHORT_LOG, least=-4), "vec_id")

@@ -101,34 +101,47 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.map_from_arrays(odd(0), odd(1)).alias("info"))
 
 
-#: Encodings of a feature matrix: float, byte over the values' range, or short over the range of their logarithms.
+#: Forms of a feature file: floats, bytes of values from 0 to 1, shorts of values (logarithms) from a least one to 0.
 FLOAT, BYTE, SHORT_LOG = "float", "byte", "short_log"
-_KIND = {FLOAT: 0, BYTE: 1, SHORT_LOG: 2}
+_KIND = 6
 
 
-def encode_matrix(x: np.ndarray, kind: str = FLOAT) -> bytes:
-    """Rows, mode, row bytes and kind, big-endian, then the rows; a quantised matrix begins with its range."""
+def _quantised(x: np.ndarray, low: float, high: float, bits: int) -> np.ndarray:
+    top = 2 ** (bits - 1)
+    return np.clip(np.floor((2 * top - 1) / (high - low) * (x - low) - top), -top, top - 1)
+
+
+def _back(q: np.ndarray, low: float, high: float, bits: int) -> np.ndarray:
+    top = 2 ** (bits - 1)
+    return (q + top + 0.5) * ((high - low) / (2 * top - 1)) + low
+
+
+def encode_matrix(x: np.ndarray, kind: str = FLOAT, least: int = -10) -> bytes:
+    """A header of rows (int), mode (int), bytes of a row (short) and 6 (short), then the rows, all big-endian.
+
+    The mode is 1 for floats, -1 for bytes and ``least``, which is below -1, for shorts. Values out of the form's range are an error.
+    """
     x = np.asarray(x, np.float64)
     rows, cols = x.shape
     if kind == FLOAT:
-        return struct.pack(">iihh", rows, cols, cols * 4, 0) + x.astype(">f4").tobytes()
-    y = np.log(np.maximum(x, 1e-30)) if kind == SHORT_LOG else x
-    low, high = (float(y.min()), float(y.max())) if y.size else (0.0, 1.0)
-    high = high if high > low else low + 1
-    size, top = (1, 255) if kind == BYTE else (2, 65535)
-    q = np.clip(np.floor((y - low) / (high - low) * top + 0.5), 0, top)
-    body = q.astype(">u1" if size == 1 else ">u2").tobytes()
-    return struct.pack(">iihh", rows, -1 if kind == BYTE else -2, cols * size, _KIND[kind]) + struct.pack(">dd", low, high) + body
+        return struct.pack(">iihh", rows, 1, cols * 4, _KIND) + x.astype(">f4").tobytes()
+    if kind == BYTE:
+        if x.size and (x.min() < 0 or x.max() > 1):
+            raise ValueError("bytes hold values from 0 to 1")
+        return struct.pack(">iihh", rows, -1, cols, _KIND) + _quantised(x, 0.0, 1.0, 8).astype(">i1").tobytes()
+    if least >= -1:
+        raise ValueError(f"the least value of shorts must be below -1, not {least}")
+    if x.size and x.max() > 0:
+        raise ValueError("shorts hold values up to 0")
+    return struct.pack(">iihh", rows, least, cols * 2, _KIND) + _quantised(x, least, 0.0, 16).astype(">i2").tobytes()
 
 
 def decode_matrix(raw: bytes) -> np.ndarray:
     rows, mode, width, _ = struct.unpack(">iihh", raw[:12])
-    if mode >= 0:
-        return np.frombuffer(raw[12:], ">f4").reshape(rows, -1).astype(np.float64)
-    low, high = struct.unpack(">dd", raw[12:28])
-    size, top = (1, 255) if mode == -1 else (2, 65535)
-    y = low + np.frombuffer(raw[28:], ">u1" if size == 1 else ">u2").reshape(rows, width // size).astype(np.float64) / top * (high - low)
-    return y if mode == -1 else np.exp(y)
+    width &= 0xFFFF  # a row of more than 32767 bytes
+    kind, size = (">f4", 4) if mode >= 0 else (">i1", 1) if mode == -1 else (">i2", 2)
+    x = np.frombuffer(raw[12 : 12 + rows * width], kind).reshape(rows, width // size).astype(np.float64)
+    return x if mode >= 0 else _back(x, 0.0, 1.0, 8) if mode == -1 else _back(x, mode, 0.0, 16)
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
@@ -141,16 +154,32 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, matrix array<array<double>>")
 
 
-def encoded_matrices(rows: DataFrame, kind: str = FLOAT) -> DataFrame:
+def encoded_matrices(rows: DataFrame, kind: str = FLOAT, least: int = -10) -> DataFrame:
     """Adds ``raw``, the encoded form of the column ``matrix``."""
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda m: None if m is None else encode_matrix(np.array([list(r) for r in m]).reshape(len(m), -1), kind))
+        return s.map(lambda m: None if m is None else encode_matrix(np.array([list(r) for r in m]).reshape(len(m), -1), kind, least))
 
     return rows.withColumn("raw", run("matrix"))
 
 
+def write_matrices(rows: DataFrame, kind: str = FLOAT, least: int = -10) -> DataFrame:
+    """Writes the column ``matrix`` to the file that ``path`` names, each in one piece; the paths. A task that runs again writes the same."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for part in parts:
+            for path, m in zip(part.path, part.matrix, strict=True):
+                system, own = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                with system.open_output_stream(own) as out:
+                    out.write(encode_matrix(np.array([list(r) for r in m]).reshape(len(m), -1), kind, least))
+            yield part[["path"]]
+
+    return rows.select("path", "matrix").mapInPandas(run, "path string")
+
+
 def decoded_matrices(rows: DataFrame) -> DataFrame:
     @F.pandas_udf("array<array<double>>")
     def run(s: pd.Series) -> pd.Series:
