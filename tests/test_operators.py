@@ -234,7 +234,10 @@ def test_seam_against_brute_force():
     for _ in range(20):
         e = [[rng.randint(0, 9) for _ in range(5)] for _ in range(4)]
         paths = [p for p in itertools.product(range(4), repeat=5) if all(abs(a - b) < 2 for a, b in itertools.pairwise(p))]
-        assert G.seam(e, [0] * 5, [3] * 5)[0] == min(sum(e[y][x] for x, y in enumerate(p)) for p in paths)
+        assert G.seam(e, [-1] * 5, [4] * 5)[0] == min(sum(e[y][x] for x, y in enumerate(p)) for p in paths)
+        low, high, to = ([rng.randint(-1, 1) for _ in range(5)], [rng.randint(2, 4) for _ in range(5)], [rng.randint(0, 3) for _ in range(5)])
+        cost = lambda x, y: e[y][x] + 0.5 * abs(to[x] - y) if low[x] < y < high[x] else 50_000  # noqa: E731, B023
+        assert G.seam(e, low, high, to, 0.5)[0] == min(sum(cost(x, y) for x, y in enumerate(p)) for p in paths)
     assert G.monotone([(0, 0), (5, 0), (3, 0), (6, 0)]) == [(0, 0), (5, 0), (6, 0)] and G.inside([(0, 0), (4, 0), (4, 4), (0, 4)], 1, 1) and not G.inside([(0, 0), (4, 0), (4, 4)], 1, 3)
 
 
