@@ -131,37 +131,36 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """Documents of a bounded sample: their features (kind, document, hash, count), and labels or posteriors."""
+    """Documents of a bounded sample: for each kind of feature (document, hash, count), and labels or posteriors."""
 
     label: np.ndarray
-    kind: np.ndarray
-    doc: np.ndarray
-    key: np.ndarray
-    count: np.ndarray
+    kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     text: pa.Array
 
 
 def _sample(col: pa.Array, label: np.ndarray) -> Sample:
     raw, offs = buffers(col)
-    parts = []
+    parts: list[list[tuple[np.ndarray, ...]]] = [[(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))] for _ in range(1 + len(PREFIXES))]
     for i, j in chunks(offs):
         doc, _, kinds = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        for kind, (at, h) in enumerate(kinds):
+        for own, (at, h) in zip(parts, kinds, strict=True):
             order = np.lexsort((h, doc[at]))
             d, k = doc[at][order] + i, h[order]
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
             first = np.flatnonzero(new)
-            parts.append((np.full(len(first), kind, np.int8), d[first].astype(np.int32), k[first], np.diff(np.append(first, len(d))).astype(np.int32)))
-    kind, doc, key, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int8), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))
-    return Sample(label, kind, doc, key, count, col)
+            own.append((d[first].astype(np.int32), k[first], np.diff(np.append(first, len(d))).astype(np.int32)))
+    joined = []
+    while parts:  # one kind after the other, so that its parts can go
+        joined.append(tuple(np.concatenate(x) for x in zip(*parts.pop(0), strict=True)))
+    return Sample(label, joined, col)
 
 
 def mine(sample: Sample, kind: int) -> np.ndarray:
     """Features of one kind that cover the toxic documents greedily, each far commoner in toxic than in clean ones."""
-    own = sample.kind == kind
-    key, inv = np.unique(sample.key[own], return_inverse=True)
-    doc, toxic = sample.doc[own], sample.label == 1
+    doc, key, _ = sample.kinds[kind]
+    key, inv = np.unique(key, return_inverse=True)
+    toxic = sample.label == 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     df1 = np.bincount(inv[toxic[doc]], minlength=len(key))
     df0 = np.bincount(inv[~toxic[doc]], minlength=len(key))
@@ -302,28 +301,33 @@ def matched_bias(z: np.ndarray, weight: np.ndarray, total: float) -> float:
 def fit_classifier(sample: Sample, q: np.ndarray, weight: np.ndarray, lexicons: list[KeySet], rounds: int = 300) -> Classifier:
     """Logistic regression with posterior labels ``q``; ``weight`` is how many documents of the table a row stands for, and sets the bias alone."""
     lexicons = [KeySet(np.concatenate([lexicons[0].keys, *(x.keys for x in _seeds())])), *lexicons[1:]]
-    kinds = 1 + len(PREFIXES)
-    key, inv = np.unique(np.stack([sample.kind.astype(np.uint64), sample.key], 1), axis=0, return_inverse=True) if len(sample.key) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-    inv = inv.ravel()
     n, n1 = len(q), q.sum()
-    df = np.bincount(inv, minlength=len(key)).astype(float)
-    a = np.bincount(inv, q[sample.doc], len(key))  # toxic documents with the feature
-    with np.errstate(divide="ignore", invalid="ignore"):
-        e = df * n1 / max(n, 1)
-        g = np.where(a > 0, a * np.log(a / e), 0) + np.where(df - a > 1e-12, (df - a) * np.log((df - a) / (df - e)), 0)
-    g[df < 3] = 0
-    top = np.argsort(-g, kind="stable")[:FEATURES]
-    top = top[g[top] > 5]
-    column = np.full(len(key), -1)
-    column[top] = np.arange(len(top))
-    x = np.zeros((n, len(top) + _HITS), np.float32)
+    known: list[tuple[np.ndarray, np.ndarray]] = []  # by kind, the hashes of its best features and how much each tells
+    for doc, key, _ in sample.kinds:
+        key, inv = np.unique(key, return_inverse=True)
+        df = np.bincount(inv, minlength=len(key)).astype(float)
+        a = np.bincount(inv, q[doc], len(key))  # toxic documents with the feature
+        with np.errstate(divide="ignore", invalid="ignore"):
+            e = df * n1 / max(n, 1)
+            g = np.where(a > 0, a * np.log(a / e), 0) + np.where(df - a > 1e-12, (df - a) * np.log((df - a) / (df - e)), 0)
+        g[df < 3] = 0
+        best = np.argsort(-g, kind="stable")[:FEATURES]
+        best = best[g[best] > 5]
+        known.append((key[best], g[best]))
+    told = np.concatenate([g for _, g in known])
+    top = np.zeros(len(told), bool)
+    top[np.argsort(-told, kind="stable")[:FEATURES]] = True
+    picked = [np.sort(k[t]) for (k, _), t in zip(known, np.split(top, np.cumsum([len(k) for k, _ in known])[:-1]), strict=True)]
+    first = np.cumsum([0, *(len(k) for k in picked)])
+    x = np.zeros((n, first[-1] + _HITS), np.float32)
     raw, offs = buffers(sample.text)
     for i, j in chunks(offs):
         doc, count, by_kind = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        x[np.arange(i, j), len(top) + hits(doc, count, by_kind, lexicons)] = 1
-    on = column[inv] >= 0
-    length = np.bincount(sample.doc[sample.kind == 0], sample.count[sample.kind == 0], n)
-    x[sample.doc[on], column[inv[on]]] = density(sample.count[on], length[sample.doc[on]])
+        x[np.arange(i, j), first[-1] + hits(doc, count, by_kind, lexicons)] = 1
+    length = np.bincount(sample.kinds[0][0], sample.kinds[0][2], n)
+    for k, (doc, key, count) in enumerate(sample.kinds):
+        at, column = KeySet(picked[k]).find(key)
+        x[doc[at], first[k] + column] = density(count[at], length[doc[at]])
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -334,13 +338,8 @@ def fit_classifier(sample: Sample, q: np.ndarray, weight: np.ndarray, lexicons:
         w = (w - 0.05 * (m / c1) / (np.sqrt(s / c2) + 1e-8)).astype(np.float32)
         b -= 0.05 * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
     b += matched_bias(x @ w + b, weight, float((weight * q).sum())) if n else -40.0
-    sets, weights = [], []
-    for kind in range(kinds):
-        own = top[key[top, 0] == kind] if len(top) else top
-        order = np.argsort(key[own, 1]) if len(own) else own
-        sets.append(KeySet(key[own, 1]))
-        weights.append(w[column[own[order]]].astype(float))
-    return Classifier(sets, weights, float(b), lexicons, w[len(top) :].astype(float))
+    weights = [w[first[k] : first[k + 1]].astype(float) for k in range(len(picked))]
+    return Classifier([KeySet(k) for k in picked], weights, float(b), lexicons, w[first[-1] :].astype(float))
 
 
 def _gather(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Sample:
