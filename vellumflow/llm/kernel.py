@@ -21,7 +21,7 @@ IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]]
 #: Words are hashed byte by byte up to here; what follows is hashed at once.
 LONG = 32
 #: Bytes handled at once; a longer document is handled alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -140,7 +140,8 @@ class Sample:
 
 def _sample(col: pa.Array, label: np.ndarray) -> Sample:
     raw, offs = buffers(col)
-    parts: list[list[tuple[np.ndarray, ...]]] = [[(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int32))] for _ in range(1 + len(PREFIXES))]
+    small = np.uint16 if len(col) <= 65_536 else np.uint32
+    parts: list[list[tuple[np.ndarray, ...]]] = [[(np.zeros(0, np.uint16), np.zeros(0, np.uint64), np.zeros(0, np.uint16))] for _ in range(1 + len(PREFIXES))]
     for i, j in chunks(offs):
         doc, _, kinds = features(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         for own, (at, h) in zip(parts, kinds, strict=True):
@@ -149,7 +150,7 @@ def _sample(col: pa.Array, label: np.ndarray) -> Sample:
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
             first = np.flatnonzero(new)
-            own.append((d[first].astype(np.int32), k[first], np.diff(np.append(first, len(d))).astype(np.int32)))
+            own.append((d[first].astype(small), k[first], np.minimum(np.diff(np.append(first, len(d))), 65_535).astype(np.uint16)))
     joined = []
     while parts:  # one kind after the other, so that its parts can go
         joined.append(tuple(np.concatenate(x) for x in zip(*parts.pop(0), strict=True)))
