@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumflow.shared import checkpointed
+
 
 def run_ids(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str = "run_id") -> DataFrame:
     """Numbers the maximal runs of one value in order, from 0, within each key."""
@@ -91,12 +93,19 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def batches(rows: DataFrame, key: str, seed: int, size: int, most: int = -1) -> DataFrame:
-    """A seeded epoch of at most ``most`` rows in numbered batches; the last incomplete batch is left out."""
-    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1
+    """A seeded epoch of at most ``most`` rows in numbered batches; the last incomplete batch is left out.
+
+    Rows are numbered by partitions of a range of hashes: each partition's own count, and the counts of those before (a row for each partition on the driver).
+    """
     picked = shuffled(rows, key, seed).limit(most) if most >= 0 else rows
-    told = picked.withColumn("batch", F.floor(rank / size))
-    full = told.groupBy("batch").count().where(F.col("count") == size).select("batch")
-    return told.join(full, "batch", "left_semi")
+    told = checkpointed(picked.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).repartitionByRange("_h", key).withColumn("_part", F.spark_partition_id()))
+    start, first = 0, {}
+    for part, n in sorted(told.groupBy("_part").count().collect()):
+        first[part], start = start, start + n
+    before = F.coalesce(*[F.when(F.col("_part") == p, n) for p, n in first.items()], F.lit(0)) if first else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)) - 1 + before
+    told = told.withColumn("batch", F.floor(rank / size))
+    return told.where(F.col("batch") < start // size).drop("_h", "_part")
 
 
 def newest(rows: DataFrame, keys: list[str], stamp: str, name: str, keep: int = 1) -> DataFrame:

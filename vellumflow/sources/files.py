@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,32 @@ def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (),
     files = read.load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
     if extensions:
-        pattern = "(?i)\\.(" + "|".join(e.lstrip(".") for e in extensions) + ")$"
+        pattern = "(?i)\\.(" + "|".join(re.escape(e.lstrip(".")) for e in extensions) + ")$"
         files = files.where(F.col("name").rlike(pattern))
     return files.orderBy("path")
 
 
-def files_or_folders(spark: SparkSession, paths: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """``a:b:c``: each a folder, listed, or a file of one path a line."""
+def split_paths(paths: str | list[str]) -> list[str]:
+    """A list as it is; a text ``a:b:c`` cut at colons, but not at that of a scheme (``hdfs://``, ``s3a://``, ``file:/``) or of a port."""
+    if not isinstance(paths, str):
+        return [p for p in paths if p]
+    out: list[str] = []
+    for part in paths.split(":"):
+        # a scheme's colon is followed by a slash and comes after a bare name; a port's comes after a host and before digits and a slash
+        scheme = out and re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]+", out[-1]) and part.startswith("/") and (part.startswith("//") or out[-1] in ("file", "hdfs"))
+        port = out and re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]+://[^/]*", out[-1]) and re.match(r"\d+(/|$)", part)
+        if scheme or port:
+            out[-1] += ":" + part
+        else:
+            out.append(part)
+    return [p for p in out if p]
+
+
+def files_or_folders(spark: SparkSession, paths: str | list[str], extensions: tuple[str, ...] = ()) -> DataFrame:
+    """Each of ``paths`` (see ``split_paths``): a folder, listed, or a file of one path a line."""
     system = spark._jvm.org.apache.hadoop.fs
     out = None
-    for p in (x for x in paths.split(":") if x):
+    for p in split_paths(paths):
         path = system.Path(p)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
             own = listing(spark, p, extensions).select("path")
@@ -114,3 +132,60 @@ def unreferenced(models: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Models whose name stands in no checkpoint line (``key: "name"``)."""
     named = checkpoints.select(F.regexp_extract("line", r'"([^"]*)"', 1).alias("_n")).where("_n <> ''").select(F.element_at(F.split("_n", "/"), -1).alias("_n")).distinct()
     return models.join(named, F.regexp_replace("name", r"\.[^.]*$", "") == F.col("_n"), "left_anti")
+
+
+def nearest_name(left: DataFrame, right: DataFrame) -> DataFrame:
+    """For each file of ``left`` the file of ``right`` in its folder that has its stem, else the only one whose name begins with the stem; several such make the query fail."""
+    a = left.select("path", "parent", stem(F.col("name")).alias("_stem"))
+    b = right.select(F.col("path").alias("partner"), "parent", F.col("name").alias("_name"))
+    met = a.join(b, "parent").where(F.startswith("_name", F.col("_stem")))
+    same = F.when(stem(F.col("_name")) == F.col("_stem"), F.col("partner"))
+    one = met.groupBy("path").agg(F.min(same).alias("_same"), F.min("partner").alias("_first"), F.count("*").alias("_n"))
+    pick = F.when(F.col("_same").isNotNull(), F.col("_same")).when(F.col("_n") == 1, F.col("_first")).otherwise(F.raise_error(F.concat(F.lit("ambiguous: "), F.col("path"))))
+    return left.select("path").join(one.select("path", pick.alias("partner")), "path", "left")
+
+
+def text_of_images(images: DataFrame, texts: DataFrame, drop: int = 5) -> DataFrame:
+    """Image files with the text files of their stem less its last ``drop`` characters: path, text_path; a text may have several images."""
+    cut = F.expr(f"left(_stem, greatest(0, length(_stem) - {int(drop)}))")
+    a = images.withColumn("_stem", stem(F.col("name"))).select("path", cut.alias("_key"))
+    b = texts.select(F.col("path").alias("text_path"), stem(F.col("name")).alias("_key"))
+    return a.join(b, "_key").select("path", "text_path")
+
+
+def snippets(lines: DataFrame, target: str) -> None:
+    """Writes each line (name, text, info: map) as a row of text and one of its side information below ``target``, as training data for lines; images are not cut."""
+    lines.select("name", "text").write.mode("overwrite").parquet(f"{target}/text")
+    lines.select("name", F.array_join(F.flatten(F.transform(F.map_entries("info"), lambda e: F.array(e.key, e.value))), "\n").alias("info")).write.mode("overwrite").parquet(f"{target}/info")
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a file to all executors; the name by which ``SparkFiles.get`` finds it there."""
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+def allowed(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a list of names."""
+    return rows.join(names.select(key).distinct(), key, "left_semi")
+
+
+def read_xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """path, element: each element ``tag`` of XML files, as text; a file that is not XML makes the query fail."""
+    import pandas as pd
+
+    def run(batches):
+        import xml.etree.ElementTree as ET
+
+        for b in batches:
+            rows = [(p, ET.tostring(e, "unicode")) for p, c in zip(b.path, b.content, strict=True) for e in ET.fromstring(bytes(c)).iter() if e.tag.rsplit("}", 1)[-1] == tag]
+            yield pd.DataFrame(rows, columns=["path", "element"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, element string")
+
+
+def child(element: Column, name: str) -> Column:
+    """The text of the child element of that name; null without one, and an error if there are several."""
+    found = F.xpath(element, F.lit(f"/*/*[local-name()='{name}']/text()"))
+    n = F.xpath_int(element, F.lit(f"count(/*/*[local-name()='{name}'])"))
+    return F.when(n > 1, F.raise_error(F.lit(f"several children {name}"))).otherwise(F.get(found, 0))

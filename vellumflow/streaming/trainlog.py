@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,9 +54,9 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
 
 
 def last_lines(lines: DataFrame, n: int = 20) -> DataFrame:
-    """The last n lines of each key."""
-    own = F.array_sort(F.collect_list(F.struct("seq", "line")))
-    return lines.groupBy("key").agg(F.slice(own, F.greatest(F.size(own) - n + 1, F.lit(1)), F.lit(n)).alias("x")).select("key", F.inline("x"))
+    """The last n lines of each key; a rank limit keeps only n lines of a key in any task."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("seq")))
+    return lines.withColumn("_rank", rank).where(F.col("_rank") <= n).select("key", "seq", "line")
 
 
 def windowed(events: DataFrame, stamp: str, length: str, late: str, keys: tuple[str, ...] = ()) -> DataFrame:
