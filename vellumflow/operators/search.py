@@ -47,7 +47,7 @@ def table_hits(lines: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where("query is not null").select("query").distinct().withColumn("_token", longest).where("_token is not null")
     told = lines.withColumn("_token", F.explode(F.filter(F.array_distinct(cut(F.col("line"))), lambda t: t != "")))
     whole = told.join(asked.where("query = _token"), "_token").select("query", "doc_id", "line_no")
-    quoted = F.regexp_replace("query", r"([\\.^$|?*+()\[\]{}])", r"\\\\$1")
+    quoted = F.regexp_replace("query", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
     pattern = F.concat(F.lit(f"(?:^|[{T.BORDER}])"), quoted, F.lit(f"(?:$|[{T.BORDER}])"))
     parts = told.join(asked.where("query <> _token"), "_token").where(F.contains("line", F.col("query"))).where(F.rlike(F.col("line"), pattern))
     return whole.unionAll(parts.select("query", "doc_id", "line_no"))

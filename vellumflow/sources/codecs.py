@@ -96,9 +96,10 @@ def char_dictionary(docs: DataFrame) -> DataFrame:
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
     """path, info: side files of alternating key and value lines as a map."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("x"))
-    odd = lambda k: F.filter("x", lambda _, i: (i % 2 == k) & (i < F.size("x") - F.size("x") % 2))
-    return text.select("path", F.map_from_arrays(odd(0), odd(1)).alias("info"))
+    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("_lines"))
+    even = F.size("_lines") - F.size("_lines") % 2
+    every = lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (even / 2).cast("int") - 1)), lambda i: F.get("_lines", i * 2 + k))
+    return text.select("path", F.when(even > 0, F.map_from_arrays(every(0), every(1))).otherwise(F.create_map().cast("map<string,string>")).alias("info"))
 
 
 #: Forms of a feature file: floats, bytes of values from 0 to 1, shorts of values (logarithms) from a least one to 0.
