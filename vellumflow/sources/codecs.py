@@ -33,7 +33,7 @@ def parse_char_map(lines: DataFrame) -> DataFrame:
 
 def read_char_map(spark: SparkSession, path: str) -> DataFrame:
     """A character map; a file without any ``=`` has one channel a line, with all its characters."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).where("line <> ''")
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).where("line <> ''")
     if raw.where(F.col("line").rlike(r"=\s*\d+\s*$")).isEmpty():
         return raw.select((F.col("no") + 1).alias("channel"), F.explode(F.filter(F.split("line", ""), lambda c: c != "")).alias("ch"))
     return parse_char_map(raw.select("line"))
@@ -96,7 +96,7 @@ def char_dictionary(docs: DataFrame) -> DataFrame:
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
     """path, info: side files of alternating key and value lines as a map."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("_lines"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("_lines"))
     even = F.size("_lines") - F.size("_lines") % 2
     every = lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (even / 2).cast("int") - 1)), lambda i: F.get("_lines", i * 2 + k))
     return text.select("path", F.when(even > 0, F.map_from_arrays(every(0), every(1))).otherwise(F.create_map().cast("map<string,string>")).alias("info"))

@@ -114,7 +114,7 @@ def zipped(spark: SparkSession, images: list[str], xmls: list[str]) -> DataFrame
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line of UTF-8 files; the order of lines is data."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return text.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
 
 
