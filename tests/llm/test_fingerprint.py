@@ -177,3 +177,59 @@ def test_a_large_group_gives_no_pairs(spark):
     n = frame.count()
     counts, edges = P.links(frame)
     assert counts.agg(F.avg("n_links")).first()[0] > 0.9 * (n - 1) and edges.count() < 8 * n < 0.1 * n * (n - 1)
+
+
+def check_all(spark, texts, block):
+    """Each row as brute force over all pairs of digests has it; ``texts`` are (doc_id, text)."""
+    d = [x.tobytes() for x in digest(*[t for _, t in texts])]
+    first = {}
+    for (i, _), x in zip(texts, d, strict=True):
+        first[x] = min(i, first.get(x, i))
+    near, pairs = {x: [] for x in first}, []
+    for x, y in itertools.combinations(first, 2):
+        if (s := P.bounded(x, y)) is not None:
+            near[x].append((s, first[y]))
+            near[y].append((s, first[x]))
+            pairs.append((x, y))
+    root, least = classes(first, pairs), {}
+    for x, i in first.items():
+        least[root[x]] = min(i, least.get(root[x], i))
+    apart = {t: x for (_, t), x in zip(texts, d, strict=True)}
+    linked = {t: sum(P.bounded(x, y) is not None for other, y in apart.items() if other != t) for t, x in apart.items()}
+    want = [(i, x.hex(), first[x], least[root[x]], len(near[x]), *min(near[x], default=(None, None)), linked[t]) for (i, t), x in zip(texts, d, strict=True)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS)
+    got = P.fingerprints(docs, block=block).select("doc_id", "digest", "copy_of", "class_id", "n_links", "near_score", "near_id", "n_texts").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    return pairs
+
+
+@pytest.mark.parametrize("block", [7, P.BLOCK])
+def test_no_link_is_left_out(spark, block):
+    """Links near the limit, and links of texts of lengths more than one code apart."""
+    rng = random.Random(11)
+    texts = []
+    for size in (20, 60, 120, 250, 700, 1500):
+        for _ in range(5):
+            base = words(rng, size)
+            texts += [base, f"{base} {base}", " ".join([base] * 3), *(edited(rng, base, share) for share in (0.02, 0.04, 0.06, 0.08, 0.1))]
+    pairs = check_all(spark, list(enumerate(texts)), block)
+    assert len(pairs) > 300 and sum(abs(x[0] - y[0]) > 1 for x, y in pairs) > 20
+    assert sum(P.difference(*(np.frombuffer(z, np.uint8) for z in p)) >= 0.8 * P.limit(*(np.frombuffer(z, np.uint8) for z in p)) for p in pairs) > 50
+
+
+def test_texts_that_share_a_doc_id(spark):
+    """Their links count, each for its own text, and do not connect what is near to another text of that doc_id."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 300) for _ in range(3))
+    texts = [(1, a), (1, edited(rng, a, 0.005)), (1, b), (0, edited(rng, b, 0.005)), (5, edited(rng, a, 0.005)), (6, c), (6, edited(rng, c, 0.005)), (7, c)]
+    assert len(check_all(spark, texts, P.BLOCK)) >= 5
+
+
+def test_different_texts_of_one_digest_are_linked(spark):
+    """They count as links of each other, copies do not, and whatever is near to one of them is linked with each."""
+    rng = random.Random(13)
+    base = words(rng, 400).split()
+    texts = [" ".join([*base[:i], "kappa", *base[i + 1 :]]) for i in range(0, 400, 4)]
+    texts += texts[::9]
+    assert 1 < len({x.tobytes() for x in digest(*texts)}) < len(set(texts)) < len(texts)
+    check_all(spark, list(enumerate(texts)), P.BLOCK)

@@ -6,14 +6,14 @@ ratios of the quartiles. The difference of two digests adds up: by bucket 1, 2 o
 length code and the ratios their distance, 12 for each step beyond the first.
 
 Two digests are near at a difference of at most the limit for the greater of their length codes (``LIMITS``): the scores of copies with
-5% of their words changed fall with the length, those of unrelated texts of one language too. Candidates are digests that agree in
-a sample of the buckets, of which there are ``TABLES`` for each length code that a digest has or is one below; the longer the text,
-the more buckets. So recall is an estimate, tested to be at least 0.9 against brute force; what is found is exact. Two digests that agree in several
-samples are compared in the first of them alone. Blocks of digests keep the work of a common sample in tasks of bounded size, and a task gives
-counts and a spanning forest, never its pairs.
+5% of their words changed fall with the length, those of unrelated texts of one language too. The search is exact: it compares each two digests, but for
+those whose headers alone are too far apart. Most of them end at ``FIRST`` bits, of those that say whether a bucket's quartile is at least 1, 2 or 3: the difference is at least
+the number of such bits that differ. The digests in the order of their headers are cut into ``BLOCKS`` blocks (more where one would exceed ``BLOCK``, fewer for small tables), and those blocks meet that
+have headers close enough, each two in one task, which gives counts and a spanning forest, never its pairs.
 
 Each row of the result has its digest, the least doc_id with this digest (copies are not compared with each other), and the digest's class (connected by
-near pairs), its number of links (other digests that are near) and the nearest of them. Every link found between different digests counts.
+near pairs), its number of links (other digests that are near), the nearest of them, and how many different texts the row's text is linked with, those of its own digest too.
+Every link counts, also where texts share a doc_id.
 
 Texts of under ``LEAST`` bytes, null and empty ones have no digest (null). Repeated rows each have theirs. Rows without
 a doc_id are fingerprinted but not compared; a doc_id has to be an integer. Other columns are not read. An empty table gives an empty result.
@@ -22,7 +22,6 @@ a doc_id are fingerprinted but not compared; a doc_id has to be an integer. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +34,14 @@ from .shared import written
 
 BUCKETS = 128
 LEAST = 50
-#: Length code up to which, largest difference of near copies, buckets in a sample.
-LIMITS = ((25, 38, 7), (28, 34, 8), (31, 28, 10), (34, 21, 13), (255, 16, 18))
-TABLES = 16
+#: Length code up to which, and largest difference of near copies.
+LIMITS = ((25, 38), (28, 34), (31, 28), (34, 21), (255, 16))
 BODY = BUCKETS // 4
 SIZE = BODY + 3
-#: Digests compared with each other in one block; nodes are counted in bins, so that there are few counts.
-BLOCK, BINS = 4096, 1 << 16
-#: Nodes of more digests are compared one by one, and so many pairs at once.
-WIDE, PAIRS = 64, 250_000
+#: Blocks that the digests are cut into, least and most digests of a block.
+BLOCKS, FEW, BLOCK = 32, 1024, 500_000
+#: Bits compared first (two words), digests compared with others at once, pairs at once, rows made into bits at once.
+FIRST, COLUMNS, PAIRS, PART = 128, 8192, 1 << 17, 1 << 15
 
 _RNG = np.random.default_rng(1957)
 _PERM = _RNG.permutation(256).astype(np.uint8)
@@ -52,7 +50,7 @@ _PAIR = [_PERM[_PERM[_PERM[salt] ^ np.arange(256, dtype=np.uint8)][:, None] ^ np
 _LAST = _PERM & np.uint8(BUCKETS - 1)
 _CODES = (np.arange(256)[:, None] >> np.array([6, 4, 2, 0])) & 3
 _STEP = np.array([0, 1, 2, 6])
-_LIMIT, _SAMPLE = (np.repeat([x[k] for x in LIMITS], np.diff([-1, *(x[0] for x in LIMITS)])) for k in (1, 2))
+_LIMIT = np.repeat([x[1] for x in LIMITS], np.diff([-1, *(x[0] for x in LIMITS)]))
 #: The difference of two bytes of four codes.
 _DIFF = _STEP[np.abs(_CODES[:, None] - _CODES[None])].sum(2).astype(np.uint8).ravel()
 
@@ -89,9 +87,13 @@ def encode(count: np.ndarray, lens: np.ndarray) -> np.ndarray:
 def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The difference scores of digests, row by row (broadcasting)."""
     a, b = a.astype(np.int64), b.astype(np.int64)
-    head = np.abs(a[..., :3] - b[..., :3])
-    head = np.where(head <= 1, head, (head - 1) * 12)
-    return _DIFF[a[..., 3:] * 256 + b[..., 3:]].sum(-1, dtype=np.int64) + head.sum(-1)
+    return _DIFF[a[..., 3:] * 256 + b[..., 3:]].sum(-1, dtype=np.int64) + _apart(a[..., :3], b[..., :3])
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What headers (of a signed type) add to the difference."""
+    head = np.abs(a - b)
+    return np.where(head <= 1, head, (head - 1) * 12).sum(-1)
 
 
 def limit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,108 +122,45 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in chunks(offs):
             own = offs[i : j + 1] - offs[i]
             lens = np.diff(own)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binary(encode(counts(buf[offs[i] : offs[j]], own), lens), lens >= LEAST)], ["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _binary(encode(counts(buf[offs[i] : offs[j]], own), lens), lens >= LEAST), b.column(2).slice(i, j - i)], ["doc_id", "digest", "text_id"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, digest (35 bytes or null)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest, "doc_id long, digest binary")
-
-
-def _buckets(length: int, tables: int) -> np.ndarray:
-    """The buckets of each sample for a length code (tables x size)."""
-    rng, size = np.random.default_rng(length), int(_SAMPLE[length])
-    return np.stack([rng.permutation(BUCKETS)[:size] for _ in range(tables)])
+    """One row for each row of ``docs``: doc_id, digest (35 bytes or null), text_id (tells texts of one digest apart)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id")).mapInArrow(_digest, "doc_id long, digest binary, text_id long")
 
 
 def _planes(codes: np.ndarray) -> np.ndarray:
-    """Bits of 128 buckets (n x 128) as two words."""
-    return np.packbits(codes.astype(bool), axis=1).view(np.uint64)
-
-
-@cache
-def _masks(length: int, tables: int) -> np.ndarray:
-    """Of each sample for a length code its buckets (tables x 2 words)."""
-    bits = np.zeros((tables, BUCKETS), bool)
-    np.put_along_axis(bits, _buckets(length, tables), True, axis=1)
-    return _planes(bits)
+    """Bits (n x 64 k) as k words."""
+    return np.packbits(np.ascontiguousarray(codes, bool), axis=1).view(np.uint64)
 
 
 class _Rows:
-    """Digests as bit planes: of each bucket the upper and the lower bit of its quartile."""
+    """Digests as bits: of each bucket whether its quartile is at least 1, 2 and 3. ``first`` has three words of the bits that tell most."""
 
     def __init__(self, rows: np.ndarray) -> None:
-        codes = _CODES[rows[:, 3:]].reshape(-1, BUCKETS)
-        self.high, self.low = _planes(codes & 2), _planes(codes & 1)
-        self.odd = self.high ^ self.low
+        n = len(rows)
+        even = np.abs(self._bits(rows[:: n // PART + 1]).mean(0) - 0.5) if n else np.zeros(3 * BUCKETS)
+        picked = np.argsort(even)[: FIRST + 64]
+        self.bits, self.first = np.empty((6, n), np.uint64), np.empty((3, n), np.uint64)
+        for i in range(0, n, PART):
+            bits = self._bits(rows[i : i + PART])
+            self.bits[:, i : i + PART], self.first[:, i : i + PART] = _planes(bits).T, _planes(bits[:, picked]).T
         self.head = rows[:, :3].astype(np.int16)
 
-    def differ(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets that differ (two words) of rows ``a`` and ``b`` (broadcasting)."""
-        return tuple((self.high[a, k] ^ self.high[b, k]) | (self.low[a, k] ^ self.low[b, k]) for k in (0, 1))
+    @staticmethod
+    def _bits(rows: np.ndarray) -> np.ndarray:
+        codes = _CODES[rows[:, 3:]].reshape(-1, BUCKETS)
+        return np.concatenate([codes >= k for k in (1, 2, 3)], 1)
 
     def score(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``difference`` of rows ``a`` and ``b``."""
-        out = np.zeros(len(a), np.int64)
+        out = _apart(self.head[a], self.head[b]).astype(np.int64)
         for k in (0, 1):
-            high, low, odd = self.high[a, k] ^ self.high[b, k], self.low[a, k] ^ self.low[b, k], self.odd[a, k]
-            both = high & low
-            out += np.bitwise_count(low & ~high).astype(np.int64) + np.bitwise_count(both & odd) + 2 * np.bitwise_count(high & ~low).astype(np.int64) + 6 * np.bitwise_count(both & ~odd).astype(np.int64)
-        head = np.abs(self.head[a] - self.head[b])
-        return out + np.where(head <= 1, head, (head - 1) * 12).sum(1)
-
-
-def _samples(tables: int):
-    """Rows (doc_id, digest) to (node, length, sample, doc_id, digest), a node for each sample of buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw, _ = buffers(b.column(1))
-            rows, ids = raw.reshape(-1, SIZE), b.column(0).to_numpy(zero_copy_only=False)
-            codes = _CODES[rows[:, 3:]].reshape(-1, BUCKETS).astype(np.int64)
-            nodes, own, place = [], [], []
-            for length in np.unique(np.concatenate([rows[:, 0], rows[:, 0] + 1])).tolist():
-                at = np.flatnonzero((rows[:, 0] == length) | (rows[:, 0] + 1 == length))
-                for k, picked in enumerate(_buckets(length, tables)):
-                    packed = codes[at][:, picked] @ (1 << np.arange(0, 2 * len(picked), 2))
-                    nodes.append(packed | k << 40 | length << 48)
-                    own.append(at)
-                    place.append(np.full(len(at), length << 8 | k, np.int32))
-            own = np.concatenate(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(place)), pa.array(ids[own]), b.column(1).take(pa.array(own))], ["node", "place", "doc_id", "digest"])
-
-    return run
-
-
-def _new_pairs(rows: _Rows, a: np.ndarray, b: np.ndarray, place: np.ndarray, tables: int) -> np.ndarray:
-    """Which pairs of rows, one by one, agree in no sample before that of ``place`` (length code and number of the sample).
-
-    Both have the samples of that length code, and those of the one below if they are of it both.
-    """
-    length, number = place >> 8, place & 255
-    d0, d1 = rows.differ(a, b)
-    left = np.arange(len(a))
-    for below in (1, 0):
-        for code in np.unique(length).tolist():
-            own = left[length[left] == code]
-            if below:
-                own = own[(rows.head[a[own], 0] < code) & (rows.head[b[own], 0] < code)]
-            met = []
-            for k, (m0, m1) in enumerate(_masks(code - below, tables)):
-                if not below:
-                    own = own[number[own] > k]
-                if not len(own):
-                    break
-                same = ((d0[own] & m0) | (d1[own] & m1)) == 0
-                met.append(own[same])
-                own = own[~same]
-            if met:
-                gone = np.zeros(len(a), bool)
-                gone[np.concatenate(met)] = True
-                left = left[~gone[left]]
-    return left
+            least, middle, most = (x[a] ^ x[b] for x in self.bits[k::2])
+            for x, weight in ((least, 1), (middle, 1), (most, 1), (least & most, 3)):
+                out += np.bitwise_count(x).astype(np.int64) * weight
+        return out
 
 
 class _Forest:
@@ -244,113 +183,191 @@ class _Forest:
                 self.label = up
 
 
-def _within(bound: int | None, tables: int):
-    """Rows (node, place, mine, alone, doc_id, digest) sorted by node and doc_id to counts (doc_id, other, score, n > 0), of each digest's links in these
-    nodes and the nearest, and edges (doc_id, other, score, 0) that span their classes. Rows of one block (``mine``) meet in the node that is theirs alone."""
-
-    def of(node: np.ndarray, place: np.ndarray, mine: np.ndarray, alone: np.ndarray, ids: np.ndarray, digests_: np.ndarray) -> pa.RecordBatch | None:
-        n = len(node)
-        rows, forest = _Rows(digests_), _Forest(n)
-        count, best = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
-
-        def meet(a: np.ndarray, b: np.ndarray) -> None:
-            keep = (alone[a] | (mine[a] != mine[b])) & (ids[a] != ids[b])
-            a, b = a[keep], b[keep]
-            new = _new_pairs(rows, a, b, place[a], tables)
-            a, b = a[new], b[new]
-            d = rows.score(a, b)
-            hit = d <= (_LIMIT[np.maximum(rows.head[a, 0], rows.head[b, 0])] if bound is None else bound)
-            a, b, d = a[hit], b[hit], d[hit]
-            if len(a):
-                for x, y in ((a, b), (b, a)):
-                    count[:] += np.bincount(x, minlength=n)
-                    np.minimum.at(best, x, d << 40 | y)  # rows of a node are in the order of doc_id
-                forest.add(a, b)
-
-        cut = np.flatnonzero(np.diff(node)) + 1
-        start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [n]])
-        small = np.repeat(stop - start <= WIDE, stop - start)
-        at, step = np.flatnonzero(small), 1
-        while len(at := at[at + step < n]) and len(at := at[node[at] == node[at + step]]):
-            for part in np.array_split(at, -(-len(at) // PAIRS)):
-                meet(part, part + step)
-            step += 1
-        for lo, hi in zip(start.tolist(), stop.tolist(), strict=True):
-            if hi - lo > WIDE:
-                side = max(1, PAIRS // (hi - lo))
-                for first in range(lo, hi, side):
-                    last = min(first + side, hi)
-                    a, b = np.meshgrid(np.arange(first, last), np.arange(first + 1, hi), indexing="ij")
-                    later = a < b
-                    meet(a[later], b[later])
+def _spanning(edges: np.ndarray) -> np.ndarray:
+    """Those of the edges (n x 2) that are enough for their classes."""
+    ids, at = np.unique(edges, return_inverse=True)
+    forest = _Forest(len(ids))
+    forest.add(*at.reshape(-1, 2).T)
+    return ids[np.concatenate(forest.edges)]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    cut = np.flatnonzero(np.diff(values)) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(values)]])
+
+
+def _close(rows: _Rows, blocks: np.ndarray, one: bool, bound: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All near pairs of rows, both of the only block (``one``) or one of each of two blocks, with their scores; rows in the order of block and header."""
+    n, head = len(blocks), rows.head.astype(np.int64)
+    starts, ends = _runs(blocks << 24 | head[:, 0] << 16 | head[:, 1] << 8 | head[:, 2])
+    split = int(np.searchsorted(blocks, blocks[0], "right"))
+    if one:
+        split = n
+    elif split == n:  # no row fell into the other block
+        return
+    bits, some = np.empty(PAIRS, np.uint64), np.empty((2, PAIRS), np.uint8)
+    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+        if lo >= split:
+            break
+        cell = np.flatnonzero(starts >= (lo if one else split))
+        most = _LIMIT[np.maximum(head[lo, 0], head[starts[cell], 0])] if bound is None else np.full(len(cell), bound)
+        room = np.repeat(most - _apart(head[lo], head[starts[cell]]), ends[cell] - starts[cell])
+        others = np.flatnonzero(room >= 0)
+        room, others = np.minimum(room[others], 255).astype(np.uint8), others + (lo if one else split)
+        for left in range(0, len(others), COLUMNS):
+            own, rest = others[left : left + COLUMNS], room[left : left + COLUMNS]
+            words, side = rows.first[:2, own], max(1, PAIRS // len(own))
+            for at in range(lo, hi, side):
+                mine = slice(at, min(at + side, hi))
+                shape = mine.stop - at, len(own)
+                size = shape[0] * shape[1]
+                x, (total, more) = bits[:size].reshape(shape), some[:, :size].reshape(2, *shape)
+                for k, out in enumerate((total, more)):
+                    np.bitwise_count(np.bitwise_xor(rows.first[k, mine, None], words[k], out=x), out=out)
+                np.add(total, more, out=total)
+                found = np.flatnonzero(total <= rest)
+                a, b = np.divmod(found, len(own))
+                apart, rest_of, a, b = total.ravel()[found], rest[b], a + at, own[b]
+                keep = (apart + np.bitwise_count(rows.first[2, a] ^ rows.first[2, b]) <= rest_of) & (a < b)
+                a, b = a[keep], b[keep]
+                if len(a):
+                    d = rows.score(a, b)
+                    hit = d <= (_LIMIT[np.maximum(head[a, 0], head[b, 0])] if bound is None else bound)
+                    yield a[hit], b[hit], d[hit]
+
+
+def _within(bound: int | None):
+    """Rows (node, block, doc_id, name, texts, digest) in the order of node, one or two blocks each, to counts (doc_id, name of the nearest, score, n > 0, their texts) of each
+    digest's links in these nodes, and edges (doc_id, doc_id, 0, 0, 0) that span the classes of a task."""
+
+    def batch(*cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "other", "score", "n", "texts"])
+
+    def of(edges: list[np.ndarray], node: int, blocks: np.ndarray, ids: np.ndarray, names: np.ndarray, texts: np.ndarray, digests_: np.ndarray) -> pa.RecordBatch | None:
+        order = np.lexsort((digests_[:, 2], digests_[:, 1], digests_[:, 0], blocks))
+        blocks, ids, names, texts = (x[order] for x in (blocks, ids, names, texts))
+        n = len(ids)
+        rows, forest = _Rows(digests_[order]), _Forest(n)
+        named = np.argsort(names, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[named] = np.arange(n)
+        count, linked, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def settle() -> None:
+            a, b, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for x, y in ((a, b), (b, a)):
+                count[:] += np.bincount(x, minlength=n)
+                linked[:] += np.bincount(x, texts[y], n).astype(np.int64)
+                np.minimum.at(best, x, d << 40 | rank[y])
+            forest.add(a, b)
+
+        size = 0
+        for pairs in _close(rows, blocks, node >> 32 == node & (1 << 32) - 1, bound):
+            held.append(pairs)
+            size += len(pairs[0])
+            if size > max(n, PAIRS):
+                settle()
+                size = 0
+        if held:
+            settle()
         who = np.flatnonzero(count)
         if not len(who):
             return None
-        score, other = best[who] >> 40, ids[best[who] & (1 << 40) - 1]
-        order = np.lexsort((other, score, ids[who]))
-        who, score, other = who[order], score[order], other[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[who][1:] != ids[who][:-1]]))
-        e = np.concatenate(forest.edges)
-        none = np.zeros(len(e), np.int64)
-        cols = (ids[who[first]], ids[e[:, 0]]), (other[first], ids[e[:, 1]]), (score[first], none), (np.add.reduceat(count[who], first), none)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["doc_id", "other", "score", "n"])
+        edges.append(ids[np.concatenate(forest.edges)])
+        return batch(ids[who], names[named[best[who] & (1 << 40) - 1]], best[who] >> 40, count[who], linked[who])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
+        edges: list[np.ndarray] = []
 
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal kept
+        def flush() -> Iterator[pa.RecordBatch]:
             cols = [np.concatenate(x) for x in zip(*kept, strict=True)]
-            node = cols[0]
-            end = len(node) if final else int(np.searchsorted(node, node[-1], "left"))
-            kept = [] if final else [tuple(c[end:] for c in cols)]
-            if (out := of(*(c[:end] for c in cols))) is not None:
+            kept.clear()
+            if (out := of(edges, last, *cols)) is not None:
+                edges[:] = [_spanning(np.concatenate(edges))]
                 yield out
 
+        last = 0
         for b in batches:
             if b.num_rows:
                 raw, _ = buffers(b.column(5))
-                kept.append((*(b.column(k).to_numpy(zero_copy_only=False) for k in range(5)), raw.reshape(-1, SIZE)))
-                if sum(len(x[0]) for x in kept) >= 20_000 and kept[0][0][0] != kept[-1][0][-1]:
-                    yield from flush(False)
+                node, *cols = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+                cols.append(raw.reshape(-1, SIZE))
+                for i, j in zip(*(x.tolist() for x in _runs(node)), strict=True):
+                    if kept and node[i] != last:
+                        yield from flush()
+                    last = int(node[i])
+                    kept.append(tuple(x[i:j] for x in cols))
         if kept:
-            yield from flush(True)
+            yield from flush()
+        if edges:
+            a, b = edges[0].T
+            yield batch(a, b, *np.zeros((3, len(a)), np.int64))
 
     return run
 
 
-def links(distinct: DataFrame, bound: int | None = None, tables: int = TABLES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """For distinct digests (doc_id, digest): (doc_id, n_links, near_id, near_score) of those that have links, and edges (a, b) that span the classes."""
-    rows = distinct.select("doc_id", "digest").mapInArrow(_samples(tables), "node long, place int, doc_id long, digest binary").withColumn("bin", F.pmod(F.xxhash64("node"), F.lit(BINS)))
-    sizes = rows.groupBy("bin").agg(F.count("*").alias("n"))
-    k = F.ceil((F.col("n") - F.col("mean")) / block).cast("int")
-    # the mean is one row, and there are BINS bins
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.floor(F.sum("n") / BINS).alias("mean")))).select("bin", k.alias("k")).where("k > 1")
-    rows = rows.join(F.broadcast(sizes), "bin", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("k")).cast("int")
-    met = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    met = met.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "place", "mine", (F.col("mine") == F.col("other")).alias("alone"), "doc_id", "digest")
-    met = met.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(_within(bound, tables), "doc_id long, other long, score long, n long")
-    found = written(met, "links")
-    near = F.min(F.struct("score", "other")).alias("near")
-    counts = found.where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n_links"), near).select("doc_id", "n_links", F.col("near.other").alias("near_id"), F.col("near.score").alias("near_score"))
+def _meetings(cells: list[tuple[int, int]], bound: int | None, block: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
+    """For headers and how many digests have each, in order: the size of a block, of each header where in the row of all digests it starts, and (block, block) of all that meet."""
+    code, n = np.array(cells, np.int64).reshape(-1, 2).T
+    start = np.cumsum(n) - n
+    size = min(block, max(FEW, -(-int(n.sum()) // BLOCKS)))
+    first, last = start // size, (start + n - 1) // size
+    head = np.stack([code >> 16, code >> 8 & 255, code & 255], 1)
+    met = set()
+    for i in range(int(last[-1]) + 1 if len(last) else 0):
+        own = head[(first <= i) & (i <= last)]
+        most = _LIMIT[np.maximum(own[:, None, 0], head[None, :, 0])] if bound is None else bound
+        near = np.flatnonzero((_apart(own[:, None], head[None]) <= most).any(0) & (last >= i))
+        met |= {(i, j) for lo, hi in set(zip(first[near].tolist(), last[near].tolist(), strict=True)) for j in range(max(lo, i), hi + 1)}
+    return size, list(zip(code.tolist(), start.tolist(), n.tolist(), strict=True)), sorted(met | {(j, i) for i, j in met})
+
+
+def links(distinct: DataFrame, bound: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """For distinct digests (doc_id, digest): (doc_id, n_links, n_texts, near_id, near_score) of those that have links, and edges (a, b) that span the classes.
+
+    Each digest has a doc_id of its own; a column ``name``, if there is one, gives near_id instead, and of several nearest the least. n_texts adds up what a column ``texts`` says of
+    the linked digests, each one without it.
+    """
+    spark = distinct.sparkSession
+    name = F.col("name" if "name" in distinct.columns else "doc_id").alias("name")
+    texts = F.col("texts") if "texts" in distinct.columns else F.lit(1).cast("long").alias("texts")
+    rows = distinct.select("doc_id", name, texts, "digest", F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int").alias("cell"))
+    # a header has few values, about ten thousand at most, so what is collected and broadcast is bounded
+    size, cells, met = _meetings(sorted(map(tuple, rows.groupBy("cell").count().collect())), bound, block)
+    rows = rows.join(F.broadcast(spark.createDataFrame(cells, "cell int, start long, n long")), "cell")
+    rows = rows.withColumn("block", F.expr(f"(start + pmod(xxhash64(doc_id, 3), n)) div {size}"))
+    rows = rows.join(F.broadcast(spark.createDataFrame(met, "block long, other long")), "block")
+    node = F.shiftleft(F.least("block", "other"), 32) + F.greatest("block", "other")
+    rows = rows.select(node.alias("node"), "block", "doc_id", "name", "texts", "digest").repartition("node").sortWithinPartitions("node")
+    found = written(rows.mapInArrow(_within(bound), "doc_id long, other long, score long, n long, texts long"), "links")
+    sums = F.sum("n").alias("n_links"), F.sum("texts").alias("n_texts"), F.min(F.struct("score", "other")).alias("near")
+    counts = found.where("n > 0").groupBy("doc_id").agg(*sums).select("doc_id", "n_links", "n_texts", F.col("near.other").alias("near_id"), F.col("near.score").alias("near_score"))
     return counts, found.where("n = 0").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
 
 
-def fingerprints(docs: DataFrame, bound: int | None = None, tables: int = TABLES, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, digest (hex), copy_of, class_id, n_links, near_id, near_score.
+def fingerprints(docs: DataFrame, bound: int | None = None, block: int = BLOCK) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, digest (hex), copy_of, class_id, n_links, near_id, near_score, n_texts.
 
     copy_of is the least doc_id with the same digest, class_id the least copy_of of the digests that near pairs connect it with. n_links is how many other digests are
-    near; near_id and near_score are the copy_of of the nearest (of several the least) and the difference to it, null where there is none. All are null without a digest or a doc_id.
+    near; near_id and near_score are the copy_of of the nearest (of several the least) and the difference to it, null where there is none.
+    n_texts is how many other texts, each once however many rows have it, are near or have the same digest. All are null without a digest or a doc_id.
     """
     own = written(digests(docs), "digests")
-    same = own.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("copy_of"))
-    same = written(same, "distinct-digests")
-    counts, edges = links(same.select(F.col("copy_of").alias("doc_id"), "digest"), bound, tables, block)
-    groups = connected(edges).select(F.col("doc_id").alias("copy_of"), F.col("group_id").alias("class_id"))
-    same = same.join(counts.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left").join(groups, "copy_of", "left")
-    same = same.select("digest", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "near_id", "near_score")
-    known = [F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("copy_of", "class_id", "n_links", "near_id", "near_score")]
+    same = own.where("doc_id is not null and digest is not null").groupBy("digest", "text_id").agg(F.min("doc_id").alias("copy_of"))
+    same = same.groupBy("digest").agg(F.min("copy_of").alias("copy_of"), F.count("*").alias("texts"))
+    same = written(same.withColumn("id", F.monotonically_increasing_id()), "distinct-digests")  # as a doc_id may have several texts, digests go by numbers of their own
+    counts, edges = links(same.select(F.col("id").alias("doc_id"), F.col("copy_of").alias("name"), "texts", "digest"), bound, block)
+    groups = connected(edges).withColumnRenamed("doc_id", "id")
+    groups = groups.union(groups.select("group_id", "group_id").distinct())
+    least = groups.join(same.select("id", "copy_of"), "id").groupBy("group_id").agg(F.min("copy_of").alias("class_id"))
+    same = same.join(counts.withColumnRenamed("doc_id", "id"), "id", "left").join(groups.join(least, "group_id"), "id", "left")
+    n_links, n_texts = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n_links", "n_texts"))
+    same = same.select("digest", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), n_links.alias("n_links"), "near_id", "near_score", (n_texts + F.col("texts") - 1).alias("n_texts"))
+    known = [F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("copy_of", "class_id", "n_links", "near_id", "near_score", "n_texts")]
     return own.join(same, "digest", "left").select("doc_id", F.lower(F.hex("digest")).alias("digest"), *known)
 
 
