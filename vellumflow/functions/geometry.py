@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINTS = "array<struct<x:int,y:int>>"
+#: Points that a step over Arrow batches takes at once; a row of more is taken alone.
+AT_ONCE = 1 << 18
 
 
 def parse_points(text: Column) -> Column:
@@ -151,6 +155,85 @@ def _series(fn):
     return run
 
 
+def _flat(points: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y of all rows' points one after another, where each row begins and the last ends, which rows are null."""
+    off, null = np.asarray(points.offsets).astype(np.int64), ~np.asarray(points.is_valid())
+    own = points.values.slice(off[0], off[-1] - off[0])
+    x, y = own.field("x"), own.field("y")
+    if own.null_count or x.null_count or y.null_count:
+        raise ValueError("a point without coordinates")
+    return x.to_numpy().astype(np.int64), y.to_numpy().astype(np.int64), off - off[0], null
+
+
+def _listed(x, y, off: np.ndarray, null: np.ndarray) -> pa.Array:
+    own = pa.StructArray.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), own, mask=pa.array(null) if len(null) else None)
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``AT_ONCE`` points together, or of one row."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+        yield a, b
+        a = b
+
+
+def _steps(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """From each point to the next of its row; of a row's last point 0."""
+    d = np.append(np.diff(x), 0)[: len(x)]
+    d[off[1:][np.diff(off) > 0] - 1] = 0
+    return d
+
+
+def _raster_sizes(x: np.ndarray, y: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many points each point becomes in ``raster``."""
+    n = np.maximum(abs(_steps(x, off)), abs(_steps(y, off)))
+    n[off[1:][np.diff(off) > 0] - 1] = 1
+    return n
+
+
+def _rastered(x: np.ndarray, y: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``raster`` of flat rows."""
+    n = _raster_sizes(x, y, off)
+    ends = np.append(0, np.cumsum(n))
+    own = np.repeat(np.arange(len(x)), n)
+    k = np.arange(ends[-1]) - ends[own]
+    at = lambda v: np.floor(v[own] + _steps(v, off)[own] * k / n[own] + 0.5).astype(np.int64)
+    return at(x), at(y), ends[off]
+
+
+def _bends(x: np.ndarray, y: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which points of flat rows ``reduce_collinear`` keeps: the ends, and those from which a step leaves the direction of the last step that was one. A row that begins with a repeated point has no direction."""
+    dx, dy = _steps(x, off), _steps(y, off)
+    if len(x) and max(abs(dx).max(), abs(dy).max()) >= 1 << 31:
+        dx, dy = dx.astype(object), dy.astype(object)
+    full = np.diff(off) > 0
+    first, keep = off[:-1][full], np.zeros(len(x), bool)
+    moves = ((dx != 0) | (dy != 0)).astype(bool)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    inner = moves & moves[off[row]]
+    inner[first] = False
+    j = np.flatnonzero(inner)
+    before = np.maximum.accumulate(np.where(moves, np.arange(len(x)), 0))[j - 1]
+    keep[j] = dx[j] * dy[before] != dy[j] * dx[before]
+    keep[first] = keep[off[1:][full] - 1] = True
+    return keep
+
+
+def _reduced(points: pa.Array, rastered: bool) -> Iterator[tuple[int, int, pa.Array]]:
+    """Of runs of rows the first, the end and the reduced points; with ``rastered``, of their raster, which is null without points."""
+    x, y, off, null = _flat(points)
+    sizes = np.diff(np.append(0, np.cumsum(_raster_sizes(x, y, off)))[off]) if rastered else np.diff(off)
+    for a, b in _pieces(sizes):
+        u, v, ends, none = x[off[a] : off[b]], y[off[a] : off[b]], off[a : b + 1] - off[a], null[a:b]
+        if rastered:
+            none = none | (np.diff(ends) == 0)
+            u, v, ends = _rastered(u, v, ends)
+        keep = _bends(u, v, ends)
+        yield a, b, _listed(u[keep], v[keep], np.append(0, np.cumsum(keep))[ends], none)
+
+
 def reduce_collinear(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Each run of points on one line through its first becomes its first and its last point; a turn back on the line is no new direction."""
     if len(points) < 3:
@@ -223,21 +306,26 @@ def seam(energy: list[list[float]], low: list[int], high: list[int], toward: lis
 
 
 def collinear_reduced(points: Column) -> Column:
-    @F.pandas_udf(POINTS)
-    def run(s: pd.Series) -> pd.Series:
-        return _series(reduce_collinear)(s)
+    @F.arrow_udf(POINTS)
+    def run(s: pa.Array) -> pa.Array:
+        return pa.concat_arrays([_listed([], [], np.array([0]), np.array([], bool)), *[p for *_, p in _reduced(s, False)]])
 
     return run(points)
 
 
-def collinear_rows(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with the points of one column reduced: for columns of nested lambdas, whose values Spark does not hand to a UDF column."""
+def collinear_rows(df: DataFrame, name: str, rastered: bool = False) -> DataFrame:
+    """``df`` with the points of one column reduced: for columns of nested lambdas, whose values Spark does not hand to a UDF column. With ``rastered`` the points of their
+    raster, which is made here for some rows at a time, as it is many times as large as the points."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield part.assign(**{name: _series(reduce_collinear)(part[name])})
+            at = part.schema.get_field_index(name)
+            for a, b, points in _reduced(part.column(at), rastered):
+                columns = part.slice(a, b - a).columns
+                columns[at] = points
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def monotone_points(points: Column, angle: float = 0.0) -> Column:

@@ -644,8 +644,8 @@ def convex_hull(spark, sf):
 )
 def collinear_reduced(spark, sf):
     """How many rasterised points are left where runs of one direction are joined."""
-    out = G.collinear_rows(_points(spark, sf).select("vec_id", G.raster(F.col("p")).alias("points")), "points")
-    return out.select("vec_id", F.size("points").alias("n"))
+    out = G.collinear_rows(_points(spark, sf), "p", rastered=True)
+    return out.select("vec_id", F.size("p").alias("n"))
 
 
 _BACK = "SELECT vec_id, round(sqrt(avg(pow(b - x, 2))), 9) AS {0} FROM (SELECT vec_id, x, (q + {1} + 0.5) * ({2} / ({1} * 2.0 - 1)) + {3} AS b FROM (SELECT vec_id, x, greatest(-{1}, least({1} - 1, floor(({1} * 2.0 - 1) / {2} * (x - {3}) - {1}))) AS q FROM (SELECT vec_id, {4} AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e FROM embeddings)))) GROUP BY 1"
