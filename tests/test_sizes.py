@@ -56,3 +56,11 @@ def test_a_batch_of_rasters_is_not_held_at_once():
     small, large = listed([row() for _ in range(60)]), listed([row() for _ in range(600)])
     few, many = (held(lambda s=s: sum(1 for _ in G._reduced(s, True))) for s in (small, large))
     assert many < 1.5 * few + 10 and many < 100
+
+
+def test_corners_of_a_batch_are_found_row_by_row(spark):
+    rng = random.Random(23)
+    rows = [[(20 * k, rng.randrange(-200, 200)) for k in range(64)] for _ in range(2000)]
+    run, batch = G._by_row(G.hull).func, listed([*rows, None, [], [(1, 1)]])
+    assert [told(p) for p in run(batch).to_pylist()] == [*map(G.hull, rows), None, [], [(1, 1)]]
+    assert held(lambda: run(batch)) < 10

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,13 +149,6 @@ def grid_join(points: DataFrame, boxes: DataFrame, keys: list[str], cell: int =
     return own.join(spread, [*keys, "_cx", "_cy"]).where("x between x0 and x1 and y between y0 and y1").drop("_cx", "_cy")
 
 
-def _series(fn):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda ps: None if ps is None else [{"x": x, "y": y} for x, y in fn([(p["x"], p["y"]) for p in ps])])
-
-    return run
-
-
 def _flat(points: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """x, y of all rows' points one after another, where each row begins and the last ends, which rows are null."""
     off, null = np.asarray(points.offsets).astype(np.int64), ~np.asarray(points.is_valid())
@@ -170,6 +164,23 @@ def _listed(x, y, off: np.ndarray, null: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), own, mask=pa.array(null) if len(null) else None)
 
 
+def _by_row(fn: Callable[[list[tuple[int, int]]], list[tuple[int, int]]]):
+    """``fn`` of each row's points; of a batch only one row is taken apart at a time."""
+
+    @F.arrow_udf(POINTS)
+    def run(points: pa.Array) -> pa.Array:
+        x, y, off, null = _flat(points)
+        xs, ys, ends = array("i"), array("i"), [0]
+        for a, b in zip(off[:-1], off[1:], strict=True):
+            for p, q in fn(list(zip(x[a:b].tolist(), y[a:b].tolist(), strict=True))):
+                xs.append(p)
+                ys.append(q)
+            ends.append(len(xs))
+        return _listed(np.frombuffer(xs, np.intc), np.frombuffer(ys, np.intc), np.array(ends), null)
+
+    return run
+
+
 def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``AT_ONCE`` points together, or of one row."""
     ends, a = np.cumsum(sizes), 0
@@ -329,11 +340,7 @@ def collinear_rows(df: DataFrame, name: str, rastered: bool = False) -> DataFram
 
 
 def monotone_points(points: Column, angle: float = 0.0) -> Column:
-    @F.pandas_udf(POINTS)
-    def run(s: pd.Series) -> pd.Series:
-        return _series(lambda ps: monotone(ps, angle))(s)
-
-    return run(points)
+    return _by_row(lambda ps: monotone(ps, angle))(points)
 
 
 def seams(rows: DataFrame, pull: float = 0.0) -> DataFrame:
@@ -348,11 +355,7 @@ def seams(rows: DataFrame, pull: float = 0.0) -> DataFrame:
 
 
 def convex_hull(points: Column) -> Column:
-    @F.pandas_udf(POINTS)
-    def run(s: pd.Series) -> pd.Series:
-        return _series(hull)(s)
-
-    return run(points)
+    return _by_row(hull)(points)
 
 
 @F.pandas_udf(T.BooleanType())
