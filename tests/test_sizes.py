@@ -7,6 +7,7 @@ import tracemalloc
 import pyarrow as pa
 
 from vellumflow.functions import geometry as G
+from vellumflow.operators import graph
 
 LISTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
@@ -64,3 +65,13 @@ def test_corners_of_a_batch_are_found_row_by_row(spark):
     run, batch = G._by_row(G.hull).func, listed([*rows, None, [], [(1, 1)]])
     assert [told(p) for p in run(batch).to_pylist()] == [*map(G.hull, rows), None, [], [(1, 1)]]
     assert held(lambda: run(batch)) < 10
+
+
+def test_paths_of_a_batch_are_not_held_as_objects():
+    rng = random.Random(25)
+    words = lambda n: [rng.choice(["één", "of", "the", "漢字"]) for _ in range(n)]
+    rows = [(words(40), words(40)) for _ in range(1000)] + [(None, ["a"]), (["a"], None), ([], [])]
+    a, b = (pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1))
+    got = [None if p is None else [(s["op"], s["i"], s["j"], s["cost"]) for s in p] for p in graph.alignment.func(a, b).to_pylist()]
+    assert got == [None if x is None or y is None else graph.edit_path(x, y) for x, y in rows]
+    assert held(lambda: graph.alignment.func(a, b)) < 8 and len(graph.alignment.func(a[:0], b[:0])) == 0

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,17 +157,23 @@ def edit_path(a: list, b: list) -> list[tuple[str, int, int, float]]:
     return path[::-1]
 
 
-@F.pandas_udf(_PATH)
-def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The cheapest edit path of two arrays."""
-
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        x, y = list(x), list(y)
-        return [dict(zip(("op", "i", "j", "cost"), step, strict=True)) for step in edit_path(x, y)]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(_PATH)
+def alignment(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The cheapest edit path of two arrays. Of a batch only one path is held as Python objects at a time."""
+    code, ends, null = {"COR": 0, "SUB": 1, "DEL": 2, "INS": 3}, array("i", [0]), []
+    ops, at_i, at_j, costs = array("b"), array("i"), array("i"), array("d")
+    for k in range(len(a)):
+        x, y = a[k].as_py(), b[k].as_py()
+        null.append(x is None or y is None)
+        for op, i, j, c in [] if null[-1] else edit_path(x, y):
+            ops.append(code[op])
+            at_i.append(i)
+            at_j.append(j)
+            costs.append(c)
+        ends.append(len(ops))
+    flat = lambda v, kind, dtype: pa.array(np.frombuffer(v, dtype), kind)
+    steps = [pa.array(list(code)).take(flat(ops, pa.int8(), np.int8)), flat(at_i, pa.int32(), np.intc), flat(at_j, pa.int32(), np.intc), flat(costs, pa.float64(), np.float64)]
+    return pa.ListArray.from_arrays(flat(ends, pa.int32(), np.intc), pa.StructArray.from_arrays(steps, ["op", "i", "j", "cost"]), mask=pa.array(null, pa.bool_()) if null else None)
 
 
 def align_lines(read: list[str], words: list[str], skip_word: float = 1.0, skip_line: float = 1.0, most: int = 10_000_000) -> list[tuple[int, int, int]]:
