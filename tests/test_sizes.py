@@ -2,11 +2,14 @@
 
 import math
 import random
+import time
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vellumflow.functions import geometry as G
+from vellumflow.functions import numeric as N
 from vellumflow.operators import graph
 
 LISTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
@@ -75,3 +78,13 @@ def test_paths_of_a_batch_are_not_held_as_objects():
     got = [None if p is None else [(s["op"], s["i"], s["j"], s["cost"]) for s in p] for p in graph.alignment.func(a, b).to_pylist()]
     assert got == [None if x is None or y is None else graph.edit_path(x, y) for x, y in rows]
     assert held(lambda: graph.alignment.func(a, b)) < 8 and len(graph.alignment.func(a[:0], b[:0])) == 0
+
+
+def test_softmax_of_a_long_array_is_one_pass(spark):
+    xs = [random.Random(24).uniform(-4, 4) for _ in range(3000)]
+    began = time.monotonic()
+    got = spark.createDataFrame([(xs,), ([],), (None,)], "x array<double>").coalesce(1).select(N.softmax(F.col("x")).alias("p"), N.log_sum_exp(F.col("x")).alias("l")).collect()
+    assert time.monotonic() - began < 20  # a sum found again for each element takes minutes
+    total = sum(math.exp(x) for x in xs)
+    assert all(math.isclose(p, math.exp(x) / total, rel_tol=1e-9) for p, x in zip(got[0].p, xs, strict=True)) and math.isclose(got[0].l, math.log(total), rel_tol=1e-9)
+    assert (got[1].p, got[2].p, got[2].l) == ([], None, None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,17 +40,19 @@ def dequantise(q: Column, low: float, high: float, bits: int) -> Column:
     return (q + top + 0.5) * ((high - low) / (2 * top - 1)) + low
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is found once a row; within a lambda it would be found again for each element."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def softmax(xs: Column) -> Column:
     """Of an array, by way of its maximum."""
-    most = F.array_max(xs)
-    e = F.transform(xs, lambda x: F.exp(x - most))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return once(xs, lambda v: once(F.array_max(v), lambda most: once(F.transform(v, lambda x: F.exp(x - most)), shares)))
 
 
 def log_sum_exp(xs: Column) -> Column:
-    most = F.array_max(xs)
-    return most + F.ln(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - most)))
+    return once(xs, lambda v: once(F.array_max(v), lambda most: most + F.ln(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - most)))))
 
 
 def trimmed_mean(xs: Column, least: float | None = None) -> Column:
