@@ -4,13 +4,14 @@ import math
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vellumflow.functions import geometry as G
 from vellumflow.functions import numeric as N
-from vellumflow.operators import graph
+from vellumflow.operators import graph, stats
 
 LISTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
@@ -88,3 +89,20 @@ def test_softmax_of_a_long_array_is_one_pass(spark):
     total = sum(math.exp(x) for x in xs)
     assert all(math.isclose(p, math.exp(x) / total, rel_tol=1e-9) for p, x in zip(got[0].p, xs, strict=True)) and math.isclose(got[0].l, math.log(total), rel_tol=1e-9)
     assert (got[1].p, got[2].p, got[2].l) == ([], None, None)
+
+
+TEXTS = ["one\n\ntwo @x\n", "é漢😀\0\r\n@@", "", None, "\n", "ab" * 3000]
+
+
+def texts(spark):
+    return spark.createDataFrame([(t,) for t in TEXTS], "text string")
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_characters_are_counted_without_a_row_each(spark):
+    got = stats.char_stat(texts(spark))
+    assert {tuple(r) for r in got.collect()} == {(c, ord(c), n) for c, n in Counter("".join(t or "" for t in TEXTS)).items()}
+    assert "Generate" not in plan(got)

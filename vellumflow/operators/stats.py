@@ -3,21 +3,51 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as T
 
+#: Bytes of text that a step over Arrow batches takes at once.
+AT_ONCE = 1 << 20
 #: The mass kept for unknown words, as a natural logarithm.
 UNKNOWN = -5.0
 ALPHA, BETA, GAMMA, LAMBDA, OOV_COST = 0.25, 1.0, 0.5, 0.5, 22.0
 
 
+def _pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts of the first column, about ``AT_ONCE`` bytes at a time; a longer one is taken alone."""
+    for part in parts:
+        texts = part.column(0).drop_null()
+        ends, a = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+            yield texts[a:b]
+            a = b
+
+
 def char_stat(docs: DataFrame) -> DataFrame:
-    """ch, codepoint, cnt."""
-    ch = docs.select(F.explode(T.chars(F.col("text"))).alias("ch"))
-    return ch.groupBy("ch").agg(F.count("*").alias("cnt")).select("ch", F.ascii("ch").alias("codepoint"), "cnt")
+    """ch, codepoint, cnt. Each part of the texts is counted as bytes, of which those beyond ASCII are decoded."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0x110000, np.int64)
+        for piece in _pieces(parts):
+            raw = np.frombuffer("".join(piece.to_pylist()).encode(), np.uint8)
+            n[:128] += np.bincount(raw, minlength=256)[:128]
+            beyond = raw[raw >= 128].tobytes().decode().encode("utf-32-le")
+            if beyond:
+                ch, cnt = np.unique(np.frombuffer(beyond, "<u4"), return_counts=True)
+                n[ch] += cnt
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(map(chr, found.tolist()), pa.string()), pa.array(n[found])], names=["ch", "cnt"])
+
+    ch = docs.select(F.col("text").cast("string")).mapInArrow(run, "ch string, cnt long")
+    return ch.groupBy("ch").agg(F.sum("cnt").alias("cnt")).select("ch", F.ascii("ch").alias("codepoint"), "cnt")
 
 
 def char_stat_lines(stat: DataFrame) -> DataFrame:

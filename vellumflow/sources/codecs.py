@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions.unicode import base_char
+from vellumflow.operators.stats import char_stat
 
 
 def parse_char_map(lines: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def parse_arpa(lines: DataFrame, most: int = -1) -> DataFrame:
 
 def char_dictionary(docs: DataFrame) -> DataFrame:
     """value: the distinct characters, one a line."""
-    return docs.select(F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("value")).distinct().orderBy("value")
+    return char_stat(docs).select(F.col("ch").alias("value")).orderBy("value")
 
 
 def read_info(spark: SparkSession, path: str) -> DataFrame:
