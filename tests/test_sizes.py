@@ -106,3 +106,19 @@ def test_characters_are_counted_without_a_row_each(spark):
     got = stats.char_stat(texts(spark))
     assert {tuple(r) for r in got.collect()} == {(c, ord(c), n) for c, n in Counter("".join(t or "" for t in TEXTS)).items()}
     assert "Generate" not in plan(got)
+
+
+def test_grams_are_counted_without_a_row_each(spark):
+    for n in (1, 3, 4):
+        got = stats.char_ngrams(texts(spark), n)
+        assert {tuple(r) for r in got.collect()} == set(Counter(f"@{x}@"[i : i + n] for t in TEXTS for x in (t or "").split("\n") if x for i in range(len(x) + 3 - n)).items())
+        assert "Generate" not in plan(got)
+
+
+def test_grams_of_any_text():
+    rng = random.Random(26)
+    for turn in range(300):
+        n = rng.choice([1, 2, 3, 4, 7])
+        text = "".join(rng.choice("ab@\n\n é😀\0\r") for _ in range(rng.randrange(60)))
+        grams, cnt = stats._line_grams(text, n)
+        assert dict(zip(grams, cnt.tolist(), strict=True)) == Counter(f"@{x}@"[i : i + n] for x in text.split("\n") if x for i in range(len(x) + 3 - n))

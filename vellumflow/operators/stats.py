@@ -140,12 +140,51 @@ def unknown_mass(words: DataFrame, known: DataFrame) -> DataFrame:
     return unknown_terms(words, known).agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("oov_mass"), F.count("*").alias("n_terms"))
 
 
+def _line_grams(text: str, n: int) -> tuple[list[str], np.ndarray]:
+    """The different grams of n characters of a text's filled lines, each between ``@``, and how often they occur."""
+    ch = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    if not len(ch):
+        return [], np.zeros(0, np.int64)
+    end = ch == 10
+    line = np.append(0, np.repeat(np.cumsum(end), np.where(end, 2, 1)))
+    ch = np.concatenate([[64], np.repeat(np.where(end, 64, ch), np.where(end, 2, 1)), [64]]).astype("<u4")
+    ends = np.flatnonzero(end) + np.arange(np.count_nonzero(end)) + 1
+    line[ends] -= 1  # of the two signs for a line feed the first ends a line
+    line = np.append(line, line[-1])
+    first = np.flatnonzero((line[: len(line) - n + 1] == line[n - 1 :]) & (np.bincount(line) > 2)[line[: len(line) - n + 1]]) if len(ch) >= n else np.zeros(0, np.int64)
+    if not len(first):
+        return [], np.zeros(0, np.int64)
+    place = np.zeros(int(ch.max()) + 1, np.int64)
+    place[ch] = 1
+    size = int(place.sum())
+    place[place > 0] = np.arange(size)
+    place, code, most = place[ch], np.zeros(len(first), np.int64), 1
+    for k in range(n):
+        if most * size >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            most = int(code.max()) + 1
+        code, most = code * size + place[first + k], most * size
+    if most <= 1 << 22:
+        cnt, at = np.bincount(code, minlength=most), np.zeros(most, np.int64)
+        at[code] = first
+        at, cnt = at[cnt > 0], cnt[cnt > 0]
+    else:
+        _, at, cnt = np.unique(code, return_index=True, return_counts=True)
+        at = first[at]
+    grams = ch[at[:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le")
+    return [grams[k : k + n] for k in range(0, len(grams), n)], cnt
+
+
 def char_ngrams(docs: DataFrame, n: int) -> DataFrame:
-    """gram, cnt of n characters of each line, ``@`` before and after it. A line is split into characters once, its grams are slices of them."""
-    line = docs.select(F.explode(T.lines(F.col("text"))).alias("x")).where("x <> ''").select(F.split(F.concat(F.lit("@"), "x", F.lit("@")), "").alias("c"))
-    line = line.select(F.filter("c", lambda ch: ch != "").alias("c")).where(F.size("c") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.concat(*[F.element_at("c", i + k) for k in range(n)]))
-    return line.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt"))
+    """gram, cnt of n characters of each line, ``@`` before and after it. Each part of the texts is counted as an array of characters."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(parts):
+            grams, cnt = _line_grams("\n".join(piece.to_pylist()), n)
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(cnt, pa.int64())], names=["gram", "cnt"])
+
+    grams = docs.select(F.col("text").cast("string")).mapInArrow(run, "gram string, cnt long")
+    return grams.groupBy("gram").agg(F.sum("cnt").alias("cnt"))
 
 
 def quantile_index(histogram: DataFrame, keys: tuple[str, ...], q: float) -> DataFrame:
