@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 import tracemalloc
 from collections import Counter
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import geometry as G
 from vellumflow.functions import numeric as N
-from vellumflow.operators import graph, stats
+from vellumflow.operators import graph, search, stats
 
 LISTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
@@ -122,3 +123,17 @@ def test_grams_of_any_text():
         text = "".join(rng.choice("ab@\n\n é😀\0\r") for _ in range(rng.randrange(60)))
         grams, cnt = stats._line_grams(text, n)
         assert dict(zip(grams, cnt.tolist(), strict=True)) == Counter(f"@{x}@"[i : i + n] for x in text.split("\n") if x for i in range(len(x) + 3 - n))
+
+
+def test_table_hits_of_common_and_rare_tokens(spark, monkeypatch):
+    monkeypatch.setattr(search, "FREQUENT", 3)
+    monkeypatch.setattr(search, "HASHES", 2)
+    told = [(1, "the cat, the dog"), (1, "the cat, the dog"), (None, "a.b cat"), (2, "the the the"), (2, "dog a,b"), (3, "License, Version"), (3, "xLicense, Version"), (4, ""), (5, "rare été"), (6, "cat, the dog")]
+    asked = ["the", "the", "cat", "rare", "été", "a.b", "License, Version", "cat, the", "none", ", ", None]
+    lines = spark.createDataFrame([(d, k % 2, x) for k, (d, x) in enumerate(told)], "doc_id long, line_no int, line string")
+    border = "[ ,.]"
+    want = Counter((q, d, k % 2) for q in {q for q in asked if q and q != ", "} for k, (d, x) in enumerate(told) if re.search(f"(?:^|{border}){re.escape(q)}(?:$|{border})", x))
+    got = search.table_hits(lines, spark.createDataFrame([(q,) for q in asked], "query string"))
+    assert Counter(tuple(r) for r in got.collect()) == want
+    alone = search.table_hits(lines, spark.createDataFrame([("cat",)], "query string"))
+    assert Counter(tuple(r) for r in alone.collect()) == Counter({k: n for k, n in want.items() if k[0] == "cat"})

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as T
+from vellumflow.shared import checkpointed
 
 MIN_CONFIDENCE = 0.05
+#: Tokens, and hashes of rows, that a search broadcasts at most.
+FREQUENT, HASHES = 1 << 16, 1 << 18
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -36,21 +39,38 @@ def keyword_hits(lines: DataFrame, queries: list[str], mode: str = "word", prefi
     return lines.select(F.explode(found).alias("query"), "doc_id", "line_no")
 
 
+def _maybe(rows: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without most of those whose keys no row of ``of`` has: by hashes, at most ``HASHES`` of which are broadcast."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("_h")
+    return rows.withColumn("_h", bucket).join(F.broadcast(of.select(bucket).distinct()), "_h", "left_semi").drop("_h")
+
+
 def table_hits(lines: DataFrame, queries: DataFrame) -> DataFrame:
     """query, doc_id, line_no of the lines that each whole-word query of a table (column ``query``) hits; a repeated query counts once, null finds nothing.
 
-    Lines are cut at separators, and a query is joined to the tokens that equal its longest part; so the lines are read once however many queries there are, and a common word of the lines
-    costs rows only where it is asked for. Queries of several parts are then verified in the line. A query of separators alone finds nothing.
+    Lines are cut at separators, and a query is matched with the tokens that equal its longest part; so the work doesn't grow with the number of queries. A query that is
+    one token needs no more than to be known as asked: of the ``FREQUENT`` commonest tokens, the bulk of any text, that is broadcast, and the others are joined to the queries. Of a query of
+    several parts the lines with its token are found first, without their text, and it is then verified in them. A query of separators alone finds nothing.
     """
     cut = lambda c: F.split(c, f"[{T.BORDER}]")
     longest = F.array_max(F.transform(F.filter(cut(F.col("query")), lambda t: t != ""), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))).t
-    asked = queries.where("query is not null").select("query").distinct().withColumn("_token", longest).where("_token is not null")
-    told = lines.withColumn("_token", F.explode(F.filter(F.array_distinct(cut(F.col("line"))), lambda t: t != "")))
-    whole = told.join(asked.where("query = _token"), "_token").select("query", "doc_id", "line_no")
+    # kept, as else the filters on the longest part would be inferred for every token of the lines, and for every row that the queries are counted from
+    asked = checkpointed(queries.where("query is not null").select("query").distinct().withColumn("_token", longest)).where("_token is not null")
+    alone, parts = asked.where("query = _token").select("_token"), asked.where("query <> _token")
+    told = lines.select("doc_id", "line_no", F.explode(F.array_distinct(cut(F.col("line")))).alias("_token")).where("_token <> ''")
+    common = told.groupBy("_token").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_token").limit(FREQUENT).select("_token")
+    known = common.join(alone.withColumn("_is", F.lit(True)), "_token", "left").select("_token", F.coalesce("_is", F.lit(False)).alias("_asked"))
+    seen = told.join(F.broadcast(known), "_token", "left")
+    whole = seen.where("_asked").select(F.col("_token").alias("query"), "doc_id", "line_no")
+    rare = seen.where("_asked is null").select("_token", "doc_id", "line_no").join(alone, "_token").select(F.col("_token").alias("query"), "doc_id", "line_no")
+    if parts.isEmpty():
+        return whole.unionAll(rare)
+    maybe = checkpointed(_maybe(told, parts, "_token").join(parts, "_token").select("query", F.col("doc_id").alias("_doc"), F.col("line_no").alias("_line")).distinct())
     quoted = F.regexp_replace("query", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
     pattern = F.concat(F.lit(f"(?:^|[{T.BORDER}])"), quoted, F.lit(f"(?:$|[{T.BORDER}])"))
-    parts = told.join(asked.where("query <> _token"), "_token").where(F.contains("line", F.col("query"))).where(F.rlike(F.col("line"), pattern))
-    return whole.unionAll(parts.select("query", "doc_id", "line_no"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line_no") == F.col("_line"))
+    sure = _maybe(lines, maybe.select(F.col("_doc").alias("doc_id"), F.col("_line").alias("line_no")), "doc_id", "line_no").join(maybe, same).where(F.contains("line", F.col("query"))).where(F.rlike(F.col("line"), pattern))
+    return whole.unionAll(rare).unionAll(sure.select("query", "doc_id", "line_no"))
 
 
 def reject_counts(lines: DataFrame, queries: list[str]) -> DataFrame:
