@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.functions import geometry as G
 from vellumflow.functions import numeric as N
-from vellumflow.operators import graph, search, stats
+from vellumflow.operators import graph, lexicon, search, stats
 
 LISTS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
 
@@ -137,3 +137,11 @@ def test_table_hits_of_common_and_rare_tokens(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == want
     alone = search.table_hits(lines, spark.createDataFrame([("cat",)], "query string"))
     assert Counter(tuple(r) for r in alone.collect()) == Counter({k: n for k, n in want.items() if k[0] == "cat"})
+
+
+def test_terms_are_checked_once_counted(spark):
+    docs = spark.createDataFrame([("abc été abc x",), (None,), ("Ünder abc",)], "text string")
+    good, bad = lexicon.checked_dictionary(stats.dictionary(docs), list("abcdefghijklmnopqrstuvwxyz"))
+    assert {tuple(r) for r in good.collect()} == {("abc", 3), ("x", 1)} and {tuple(r) for r in bad.collect()} == {("été", "charmap"), ("Ünder", "charmap")}
+    told = plan(bad)
+    assert "fixed(" in told and "fixed(" not in told[told.index("Aggregate") :]

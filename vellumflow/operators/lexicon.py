@@ -50,6 +50,8 @@ def checked_dictionary(words: DataFrame, known: list[str]) -> tuple[DataFrame, D
     def fixed(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else fix(t))
 
+    # else filters on its result would be moved below the count of the words, to each of their occurrences
+    fixed = fixed.asNondeterministic()
     plain = F.forall(T.chars(F.col("term")), lambda c: c.isin(list(have)))
     told = words.withColumn("_new", F.when(plain, F.col("term")).otherwise(fixed("term")))
     tokens = T.categorised(F.col("_new"))
